@@ -59,5 +59,5 @@ def expiry(until: Column, start: Column, disposition: Column) -> Column:
 def basis_points(c: Column) -> Column:
     """Words and integers 0..10000 to basis points; anything else is null."""
     word = F.lower(F.trim(c))
-    number = F.expr("null") if c is None else F.try_to_number(word, F.lit("99999")).cast("int")
+    number = F.try_to_number(word, F.lit("99999")).cast("int")
     return F.coalesce(pick(word, BASIS_POINTS), F.when((number >= 0) & (number <= 10_000), number))

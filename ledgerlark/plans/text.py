@@ -1,0 +1,174 @@
+"""Queries on statements and documents: identities, terms and relevance, classification, scanning."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlark.functions import text as X
+from ledgerlark.session import table
+
+TASK, DECISION = "keep stale manifests after each rotation", "which records does the digest walker refuse"
+CANARIES = ["Kettle Hill Closeness", "Quarry Lane service", "Passport to nowhere"]
+SELECTED = ["The shard-reader silently skips foreign cursors after each rotation.", "Phone home is off in harbor-mirror since build 18684412.", "Rule: mark will hope for a fix in April or summer; dean of scope is quarry-sync."]
+
+
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_records").select("record_id", "logical_key", F.col("statement").alias("s")).filter("s is not null")
+
+
+def _distinct(spark: SparkSession, d: str) -> DataFrame:
+    return _statements(spark, d).select("s").distinct()
+
+
+def squeeze_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").filter("text is not null").select(F.sha2(X.squeeze(F.col("text")), 256).alias("cluster"), "doc_id").groupBy("cluster").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+
+
+def statement_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Fact id, logical key and semantic digest of every record."""
+    s = _statements(spark, d)
+    store, scope = F.lit("company"), F.lit("architecture:company")
+    return s.select("record_id", X.digest_id("fact_", store, scope, X.squeeze(F.col("s"))).alias("fact_id"), X.digest_id("logical_", store, scope, F.col("s")).alias("key_id"), F.sha2(X.statement_json(F.col("s")), 256).alias("semantic_digest"))
+
+
+def observation_ids(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "observations").filter("source_identity is not null and native_id is not null and content_digest is not null")
+    return o.select("delivery_id", X.digest_id("obs_", F.col("source_identity"), F.col("native_id"), F.col("content_digest"), length=64).alias("derived_id"))
+
+
+def document_frequency(spark: SparkSession, d: str) -> DataFrame:
+    t = _distinct(spark, d).select(F.explode(X.terms(F.col("s"))).alias("w"))
+    return t.groupBy(X.stem(F.col("w")).alias("term")).agg(F.count("*").alias("df"))
+
+
+def bm25_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Relevance of each distinct statement to TASK and DECISION, in basis points: 2000 without a shared term, 10000 the best.
+    Only rows with a query term are exploded; the statistics are one aggregate row."""
+    cand = _distinct(spark, d).select("s", F.array_distinct(F.transform(X.terms(F.col("s")), X.stem)).alias("t")).withColumn("len", F.size("t"))
+    lits = lambda q: F.array_distinct(F.transform(X.terms(F.lit(q)), X.stem))
+    decision, task = lits(DECISION), lits(TASK)
+    hit = cand.select("s", "len", F.explode(F.array_intersect("t", F.array_union(task, decision))).alias("term"))
+    n, avg = cand.agg(F.count("*"), F.greatest(F.avg("len"), F.lit(1.0))).first()  # two numbers
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.when(F.array_contains(decision, F.col("term")), 1.5).otherwise(1.0)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = weight * idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * F.col("len") / avg))
+    scored = hit.join(F.broadcast(df), "term").groupBy("s").agg(F.sum(one).alias("score"))  # df: the query's terms
+    best = scored.agg(F.max("score")).first()[0] or 1.0
+    rel = scored.select("s", (2000 + F.round(8000 * F.col("score") / best)).cast("bigint").alias("bp"))
+    return cand.select("s").join(rel, "s", "left").groupBy(F.coalesce("bp", F.lit(2000).cast("bigint")).alias("bp")).agg(F.count("*").alias("statements"))
+
+
+def dice_redundancy(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct statements whose terms overlap one of the selected statements by a Dice of 6000 bp or more."""
+    cand = _distinct(spark, d).select("s", X.terms(F.col("s")).alias("t"))
+    rows = [cand.select("s", F.lit(i).alias("selected"), F.size(F.array_intersect("t", X.terms(F.lit(q)))).alias("both"), (F.size("t") + F.size(X.terms(F.lit(q)))).alias("sum")) for i, q in enumerate(SELECTED)]
+    u = rows[0]
+    for r in rows[1:]:
+        u = u.unionByName(r)
+    return u.filter("sum > 0").withColumn("bp", F.expr("(20000 * both) div sum")).filter("bp >= 6000").groupBy("selected", "bp").agg(F.count("*").alias("statements"))
+
+
+def sentence_classes(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("s")
+    return _distinct(spark, d).groupBy(X.unsettled(c).alias("unsettled"), X.confidence(c).alias("confidence"), X.company_owned(c).alias("company"), X.codebase_owned(c).alias("codebase"), X.kind_of_sentence(c).alias("sentence_kind"), X.kind_of_record(c).alias("record_kind")).agg(F.count("*").alias("statements"))
+
+
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("pos", "chunk"))
+
+
+def taint_scan(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("s")
+    return _statements(spark, d).select("record_id", c.rlike(X.CREDENTIAL).alias("credential"), c.rlike(X.SSN).alias("ssn"), c.rlike(X.EMAIL).alias("email"), c.rlike(X.CORRELATION).alias("correlation"), F.array_join(X.taints(c), ",").alias("taints"))
+
+
+def canary_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold a registered canary: exact, in any case, squeezed, as hexadecimal or base64."""
+    squeezed = F.regexp_replace(F.lower("s"), r"[^\p{L}\p{N}]", "")
+    s, out = _statements(spark, d).withColumn("q", squeezed), None
+    forms = lambda c: F.array_compact(F.array(F.when(F.col("s").contains(c), "exact"), F.when(F.lower("s").contains(c.lower()), "case"), F.when(F.col("q").contains("".join(x for x in c.lower() if x.isalnum())), "squeezed"), F.when(F.lower("s").contains(c.encode().hex()), "hex")))
+    for c in CANARIES:
+        r = s.select("record_id", F.lit(c).alias("canary"), F.explode(forms(c)).alias("form"))
+        out = r if out is None else out.unionByName(r)
+    return out.groupBy("canary", "form").agg(F.count("*").alias("records"))
+
+
+def ngram_digest_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a run of three words whose digest is registered; the words themselves are not."""
+    known = [hashlib.sha256(c.lower().encode()).hexdigest() for c in CANARIES]
+    words = F.filter(F.split(F.lower("s"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.sha2(F.array_join(F.slice("w", i, 3), " "), 256))
+    s = _statements(spark, d).withColumn("w", words).filter(F.size("w") >= 3).select("record_id", F.explode(F.array_distinct(grams)).alias("digest"))
+    return s.filter(F.col("digest").isin(*known)).select("record_id", "digest")
+
+
+def routing(spark: SparkSession, d: str) -> DataFrame:
+    """Destination of each record's statement by kind of source, confidence and hard block."""
+    s = table(spark, d, "source_records").filter("statement is not null")
+    blocked = F.size(X.taints(F.col("statement"))) > 0
+    dest = F.when(F.col("origin") == "transcript", "personal").when(blocked | (F.coalesce("confidence", F.lit(0)) < 600), "none").when(F.col("origin") == "import", "company").otherwise("codebase")
+    return s.groupBy("origin", dest.alias("destination")).agg(F.count("*").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (squeeze_clusters, statement_ids, observation_ids, document_frequency, bm25_relevance, dice_redundancy, sentence_classes, sentence_split, text_chunks, taint_scan, canary_hits, ngram_digest_hits, routing)}
+
+
+def _lst(xs: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+
+
+def _re(xs: list[str]) -> str:
+    return "'" + "|".join(xs).replace("'", "''") + "'"
+
+
+def _lit(p: str) -> str:
+    return "'" + p.replace("'", "''") + "'"
+
+
+_D = "with d as (select distinct statement as s from source_records where statement is not null)"
+_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 2 and not list_contains({stop}, w)))"
+
+
+def _terms(c: str) -> str:
+    return _TERMS.format(c=c, stop=_lst(X.STOPWORDS))
+
+
+_STEM0 = "case when strlen(w) > 4 and regexp_matches(w, 'i(es|ed)$') then w[:-4] || 'y' when strlen(w) > 5 and w like '%ing' then w[:-4] when strlen(w) > 4 and w like '%ed' and w not like '%eed' then w[:-3] when strlen(w) > 4 and regexp_matches(w, '(sses|xes|ches|shes)$') then w[:-3] when strlen(w) > 3 and w like '%s' and not regexp_matches(w, '(ss|us|is)$') then w[:-2] else w end"
+_STEM = f"list_transform(list_transform({{t}}, lambda w: {_STEM0}), lambda v: case when strlen(v) > 3 and v like '%e' and v not like '%ee' then v[:-2] else v end)"
+_FRAME = "regexp_replace(' ' || regexp_replace(lower(s), '[^\\p{L}\\p{N}]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
+_PH = "len(list_filter({l}, lambda p: contains({f}, ' ' || p || ' '))) > 0"
+_UNS = "(contains(s, '?') or " + _PH.format(l=_lst(X.UNSETTLED), f="f") + f" or len(list_filter({_lst(X.OPENERS)}, lambda p: starts_with(f, ' ' || p || ' '))) > 0)"
+_TAINT = f"regexp_matches(s, {_lit(X.CREDENTIAL)}) or regexp_matches(s, {_lit(X.BEARER)})"
+_SECRET = f"(regexp_matches(s, {_lit(X.SECRET_FIELD)}) and not regexp_matches(s, {_lit(X.SECRET_EMPTY)})) or (contains(s, '-----BEGIN') and contains(s, 'PRIVATE KEY-----'))"
+_IDENT = f"regexp_matches(s, {_lit(X.SSN)}) or regexp_matches(s, {_lit(X.EMAIL)}) or regexp_matches(s, {_lit(X.CORRELATION)})"
+_TAINTS = f"array_to_string(list_filter([case when {_TAINT} then 'credential' end, case when {_IDENT} then 'forbidden-identifier' end, case when {_SECRET} then 'secret' end], lambda x: x is not null), ',')"
+
+SQL = {
+    "squeeze_clusters": "select sha256(regexp_replace(lower(nfc_normalize(text)), '[^\\p{L}\\p{N}]', '', 'g')) as cluster, count(*) as copies, min(doc_id) as first_doc from documents where text is not null group by 1",
+    "statement_ids": "select record_id, 'fact_' || substr(sha256('company' || chr(0) || 'architecture:company' || chr(0) || regexp_replace(lower(nfc_normalize(statement)), '[^\\p{L}\\p{N}]', '', 'g')), 1, 40) as fact_id, 'logical_' || substr(sha256('company' || chr(0) || 'architecture:company' || chr(0) || statement), 1, 40) as key_id, sha256('{\"statement\":' || cast(to_json(nfc_normalize(statement)) as varchar) || '}') as semantic_digest from source_records where statement is not null",
+    "observation_ids": "select delivery_id, 'obs_' || sha256(source_identity || chr(0) || native_id || chr(0) || content_digest) as derived_id from observations where source_identity is not null and native_id is not null and content_digest is not null",
+    "document_frequency": _D + f", t as (select unnest({_STEM.format(t=_terms('s'))}) as term from d) select term, count(*) as df from t group by 1",
+    "bm25_relevance": _D + f""", c as (select s, list_distinct({_STEM.format(t=_terms('s'))}) as t from d), q as (select unnest(list_distinct({_STEM.format(t=_terms(_lit(TASK)))})) as term, 1.0 as w union all select unnest(list_distinct({_STEM.format(t=_terms(_lit(DECISION)))})), 1.5),
+ qq as (select term, max(w) as w from q group by 1), n as (select count(*) as n, greatest(avg(len(t)), 1.0) as av from c), h as (select s, len(t) as l, unnest(t) as term from c), hh as (select * from h join qq using (term)), df as (select term, count(*) as df from hh group by 1),
+ sc as (select s, sum(w * ln(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * l / av))) as score from hh join df using (term), n group by 1),
+ r as (select s, cast(2000 + round(8000 * score / (select max(score) from sc)) as bigint) as bp from sc) select coalesce(bp, 2000) as bp, count(*) as statements from d left join r using (s) group by 1""",
+    "dice_redundancy": _D + ", p as (" + " union all ".join(f"select s, {i} as selected, {_terms('s')} as t, {_terms(_lit(q))} as u from d" for i, q in enumerate(SELECTED)) + "), b as (select selected, cast(20000 * len(list_intersect(t, u)) // (len(t) + len(u)) as bigint) as bp from p where len(t) + len(u) > 0) select selected, bp, count(*) as statements from b where bp >= 6000 group by 1, 2",
+    "sentence_classes": _D + f""", e as (select s, lower(s) as l, {_FRAME} as f, list_filter(regexp_split_to_array(lower(s), '\\s+'), lambda w: w <> '') as w from d), k as (select {_UNS} as unsettled,
+ case when contains(s, '?') or regexp_matches(lower(trim(s)), {_lit('^(?:' + '|'.join(X.NONFACT_OPENERS) + ')')}) or regexp_matches(l, {_re(X.NONFACT)}) or {_UNS} or regexp_matches(l, {_re(X.HEDGES)}) then 'low' when regexp_matches(l, 'likely|should') then 'medium' else 'high' end as confidence,
+ ({_PH.format(l=_lst(X.OWNERSHIP), f="f")} or len(list_filter(range(1, len(w)), lambda i: list_contains({_lst(X.ORGANIZATION)}, regexp_replace(regexp_replace(regexp_replace(w[i], '^[^\\p{{L}}\\p{{N}}]+', ''), '[*_]+$', ''), '[''’]s$', '')) and list_contains({_lst(X.TOPICS)}, regexp_replace(regexp_replace(w[i + 1], '^[*_]+', ''), '[^\\p{{L}}\\p{{N}}]+$', '')))) > 0) as company,
+ regexp_matches(l, {_re(X.CODEBASE)}) as codebase, case when contains(l, '?') or regexp_matches(l, '^(what|why|how) ') then 'question' when regexp_matches(l, {_re(X.CONSTRAINT)}) then 'constraint' when regexp_matches(l, {_re(X.RATIONALE)}) then 'rationale' when regexp_matches(l, {_re(X.DECISION)}) then 'decision' else 'claim' end as sentence_kind,
+ case when contains(l, '?') then 'question' when regexp_matches(l, 'must|required|never') then 'constraint' when regexp_matches(l, 'because|rationale') then 'rationale' when regexp_matches(l, 'use |choose |decide') then 'decision' else 'observation' end as record_kind from e) select *, count(*) as statements from k group by all""",
+    "taint_scan": f"select record_id, regexp_matches(s, {_lit(X.CREDENTIAL)}) as credential, regexp_matches(s, {_lit(X.SSN)}) as ssn, regexp_matches(s, {_lit(X.EMAIL)}) as email, regexp_matches(s, {_lit(X.CORRELATION)}) as correlation, {_TAINTS} as taints from (select record_id, statement as s from source_records where statement is not null)",
+    "canary_hits": f"with s as (select statement as s, regexp_replace(lower(statement), '[^\\p{{L}}\\p{{N}}]', '', 'g') as q from source_records where statement is not null), c as (select unnest({_lst(CANARIES)}) as canary), h as (select canary, unnest(list_filter([case when contains(s, canary) then 'exact' end, case when contains(lower(s), lower(canary)) then 'case' end, case when contains(q, regexp_replace(lower(canary), '[^a-z0-9]', '', 'g')) then 'squeezed' end, case when contains(lower(s), lower(hex(canary))) then 'hex' end], lambda x: x is not null)) as form from s, c) select canary, form, count(*) as records from h group by 1, 2",
+    "ngram_digest_hits": f"with s as (select record_id, list_filter(regexp_split_to_array(lower(statement), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from source_records where statement is not null), g as (select distinct record_id, sha256(array_to_string(w[i:i + 2], ' ')) as digest from (select record_id, w, unnest(range(1, len(w) - 1)) as i from s)) select record_id, digest from g where digest in (select sha256(lower(unnest({_lst(CANARIES)}))))",
+    "routing": f"with s as (select origin, confidence, statement as s from source_records where statement is not null) select origin, case when origin = 'transcript' then 'personal' when {_TAINTS} <> '' or coalesce(confidence, 0) < 600 then 'none' when origin = 'import' then 'company' else 'codebase' end as destination, count(*) as records from s group by 1, 2",
+}
