@@ -46,9 +46,9 @@ def reconcile(prior: DataFrame, scan: DataFrame, units: DataFrame, available: bo
 def compare_sets(local: DataFrame, published: DataFrame, by: str, member: str) -> DataFrame:
     """Per group: equal, superset, subset or incomparable; from one full join of distinct members, no set is collected."""
     x = local.select(by, member).distinct().withColumn("l", F.lit(1)).join(published.select(by, member).distinct().withColumn("p", F.lit(1)), [by, member], "full")
-    n = x.groupBy(by).agg(F.count_if(F.col("p").isNull()).alias("only_local"), F.count_if(F.col("l").isNull()).alias("only_published"), F.count_if(F.col("l").isNotNull() & F.col("p").isNotNull()).alias("both"))
+    n = x.groupBy(by).agg(F.count_if(F.col("p").isNull()).alias("only_local"), F.count_if(F.col("l").isNull()).alias("only_published"), F.count_if(F.col("l").isNotNull() & F.col("p").isNotNull()).alias("shared"))
     rel = F.when((F.col("only_local") == 0) & (F.col("only_published") == 0), "equal").when(F.col("only_published") == 0, "superset").when(F.col("only_local") == 0, "subset").otherwise("incomparable")
-    return n.select(by, rel.alias("relation"), "only_local", "only_published", "both")
+    return n.select(by, rel.alias("relation"), "only_local", "only_published", "shared")
 
 
 def owners(scopes: DataFrame, registry: DataFrame, fallback: str | None = None) -> DataFrame:

@@ -236,7 +236,7 @@ SQL = {
     "newest_window_bytes": "with t as (select record_id, strlen(statement) as b from source_records where statement is not null order by record_id desc limit 400), s as (select record_id, sum(b) over (order by record_id desc) as s, row_number() over (order by record_id desc) as n from t) select record_id from s where s <= 24576 or n = 1",
     "identity_dedupe": "select coalesce(lower(trim(observation_id)), 'row:' || delivery_id) as identity, min(delivery_id) as delivery_id from observations group by 1",
     "ledger_compaction": "with k as (select min(delivery_id) as delivery_id from observations group by coalesce(lower(trim(observation_id)), 'row:' || delivery_id)) select source_kind, count(k.delivery_id) as kept, count(*) - count(k.delivery_id) as dropped from observations o left join k using (delivery_id) group by 1",
-    "manifest_compare": "with m as (select repository_id, content_digest, bool_or(arrival_window >= 1) as l, bool_or(arrival_window <= 3) as p from observations where repository_id is not null and content_digest is not null and arrival_window is not null group by 1, 2), n as (select repository_id, count(*) filter (l and not p) as only_local, count(*) filter (p and not l) as only_published, count(*) filter (l and p) as both from m group by 1) select repository_id, case when only_local = 0 and only_published = 0 then 'equal' when only_published = 0 then 'superset' when only_local = 0 then 'subset' else 'incomparable' end as relation, only_local, only_published, both from n",
+    "manifest_compare": "with m as (select repository_id, content_digest, bool_or(arrival_window >= 1) as l, bool_or(arrival_window <= 3) as p from observations where repository_id is not null and content_digest is not null and arrival_window is not null group by 1, 2), n as (select repository_id, count(*) filter (l and not p) as only_local, count(*) filter (p and not l) as only_published, count(*) filter (l and p) as shared from m group by 1) select repository_id, case when only_local = 0 and only_published = 0 then 'equal' when only_published = 0 then 'superset' when only_local = 0 then 'subset' else 'incomparable' end as relation, only_local, only_published, shared from n",
     "reconcile_transitions": """with o as (select * from observations where native_id is not null and content_digest is not null), p as (select native_id, content_digest as digest, arg_max(lifecycle, delivery_id) as lifecycle, arg_max(source_identity, delivery_id) as unit from o where arrival_window <= 2 group by 1, 2),
  s as (select native_id, content_digest as digest, coalesce(bool_or(lifecycle <> 'absent'), true) as present from o where arrival_window >= 3 group by 1, 2),
  f as (select s.* from s where not exists (select 1 from p where p.native_id = s.native_id and p.digest = s.digest)), fn as (select *, exists (select 1 from p where p.native_id = f.native_id) as amends from f),

@@ -215,3 +215,24 @@ SQL = {
     "explicit_unknowns": _ALL + " select logical_key, event_id from a where atom_kind = 'question' and not exists (select 1 from a b where b.atom_kind = 'question' and b.disposition in ('accepted', 'merged') and b.fact_id = a.fact_id) and not exists (select 1 from a b where b.atom_kind = 'question' and b.disposition = 'rejected' and b.logical_key = a.logical_key)",
     "revocation_cascade": "with e as (select distinct event_id, regexp_replace(lower(trim(signer)), '^[^:]*:\\s*', '') as signer, authority_scope from company_events where verification = 'verified' and message_type = 'fact-event'), r as (select distinct regexp_replace(lower(trim(revoked_key)), '^[^:]*:\\s*', '') k, revoked_scope s from revocations) select signer, min(event_id) as first_event, count(distinct event_id) as affected, count(distinct event_id) - 1 as residual from e join r on k = signer and (s is null or s = authority_scope) group by 1",
 }
+
+
+def projection_selected(spark: SparkSession, d: str) -> DataFrame:
+    """The context chosen from all records' facts for TASK and DECISION of the text queries."""
+    from ledgerlark.functions import text as X
+    from ledgerlark.operators import projection as P
+    from ledgerlark.plans import text as Q
+
+    s = table(spark, d, "source_records").filter("statement is not null and logical_key is not null")
+    loss = L.pick(F.col("atom_kind"), L.DEFAULT_LOSS, 3000)
+    facts = s.select(
+        F.concat(F.lit("fact_"), F.substring(F.sha2(F.concat_ws("\u0000", "logical_key", "statement"), 256), 1, 40)).alias("fact_id"), "logical_key", "statement", "atom_kind", F.when(F.col("owner_id").isNull(), "company").otherwise("codebase").alias("store_kind"),
+        F.coalesce("environment_id", F.lit("repo")).alias("authority_scope"), loss.alias("loss"), F.coalesce("confidence", F.lit(0)).alias("confidence"), F.lit(1).alias("independent"), F.array("unit_id").alias("support"), F.lit("").alias("trigger"),
+    )
+    words = F.array_distinct(F.transform(X.terms(F.col("statement")), X.stem))
+    query = F.array_distinct(F.transform(X.terms(F.lit(Q.TASK + " " + Q.DECISION)), X.stem))
+    rel = facts.select("statement").distinct().select("statement", F.least(F.lit(10_000), 2000 + 1500 * F.size(F.array_intersect(words, query))).alias("bp"))
+    return P.select(P.candidates(facts, Q.TASK, Q.DECISION, rel))
+
+
+QUERIES["projection_selected"] = projection_selected
