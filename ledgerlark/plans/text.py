@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
-from ledgerlark.session import table
+from ledgerlark.session import cut, table
 
 TASK, DECISION = "keep stale manifests after each rotation", "which records does the digest walker refuse"
 CANARIES = ["Kettle Hill Closeness", "Quarry Lane service", "Passport to nowhere"]
@@ -47,7 +47,7 @@ def document_frequency(spark: SparkSession, d: str) -> DataFrame:
 def bm25_relevance(spark: SparkSession, d: str) -> DataFrame:
     """Relevance of each distinct statement to TASK and DECISION, in basis points: 2000 without a shared term, 10000 the best.
     Only rows with a query term are exploded; the statistics are one aggregate row."""
-    cand = _distinct(spark, d).select("s", F.array_distinct(F.transform(X.terms(F.col("s")), X.stem)).alias("t")).withColumn("len", F.size("t"))
+    cand = cut(_distinct(spark, d).select("s", F.array_distinct(F.transform(X.terms(F.col("s")), X.stem)).alias("t")).withColumn("len", F.size("t")))  # read three times
     lits = lambda q: F.array_distinct(F.transform(X.terms(F.lit(q)), X.stem))
     decision, task = lits(DECISION), lits(TASK)
     hit = cand.select("s", "len", F.explode(F.array_intersect("t", F.array_union(task, decision))).alias("term"))

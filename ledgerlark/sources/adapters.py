@@ -49,7 +49,7 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     file are no rows."""
     t = _lines(spark, path).filter(F.trim("value") != "")
     body = F.trim("value")
-    problem = F.when(~body.startswith("{"), F.when(body.rlike(r"^[\[\"0-9tfn-]"), "not-object").otherwise("not-json")).when(F.try_parse_json(body).isNull(), "not-json")
+    problem = F.when(F.try_parse_json(body).isNull(), "not-json").when(~body.startswith("{"), "not-object")
     return t.select("path", "line", "value", F.from_json(body, schema).alias("j"), problem.alias("problem"))
 
 
@@ -113,7 +113,7 @@ def adrs(spark: SparkSession, path: str) -> DataFrame:
     problem = F.when(~F.col("value").startswith("---"), "no-front-matter").when(part("adr").isNull(), "missing-adr").when(part("title").isNull(), "missing-title")
     status = F.when(F.lower(part("status")).isin(*ADR_STATES), F.lower(part("status"))).otherwise("proposed")
     body = F.regexp_extract("value", r"(?s)^---\n.*?\n---\n(.*)$", 1)
-    return _record(t.withColumn("problem", problem), "docs_adr", stem, F.concat(F.lit("docs_adr:"), stem), F.concat_ws("\n", part("title"), F.trim(body)), status, F.lit("human"), 9000, F.lit(None).cast("timestamp"), adr=part("adr"), supersedes=part("supersedes"))
+    return _record(t.withColumn("problem", problem), "docs_adr", stem, F.concat(F.lit("docs_adr:"), stem), F.concat_ws("\n", part("title"), F.regexp_replace(body, r"^\s+|\s+$", "")), status, F.lit("human"), 9000, F.lit(None).cast("timestamp"), adr=part("adr"), supersedes=part("supersedes"))
 
 
 def command_results(spark: SparkSession, path: str, kind: str = "runtime_evidence") -> DataFrame:
@@ -218,7 +218,7 @@ def signed_tree(spark: SparkSession, path: str, limit: int = 64 * 1024) -> DataF
     """Content-addressed event files: path, digest, and problem for oversized, unreadable or misnamed ones."""
     b = spark.read.format("binaryFile").load(path).select("path", "length", "content")
     digest = F.sha2("content", 256)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     problem = F.when(F.col("length") > limit, "oversized").when(F.try_parse_json(text).isNull(), "malformed").when(~F.contains(F.col("path"), F.substring(digest, 1, 16)), "misnamed")
     return b.select("path", digest.alias("digest"), F.when(problem.isNull(), text).alias("event"), problem.alias("problem"))
 
