@@ -46,6 +46,12 @@ def exact(text: str, kind: int, a: int, b: int) -> tuple[int, int] | None:
         return (a, b) if digits >= 6 else None
     if kind == 3:
         return (a, b) if digits and any(c.isalpha() for c in s) else None
+    # A name begins and ends with whole words, hyphens and apostrophes included.
+    word = lambda i: 0 <= i < len(text) and (text[i].isalpha() or (text[i] in "-'’" and 0 < i < len(text) - 1 and text[i - 1].isalpha() and text[i + 1].isalpha()))
+    while word(a - 1) and word(a):
+        a -= 1
+    while word(b) and word(b - 1):
+        b += 1
     return (a, b) if sum(c.isalpha() for c in s) >= 2 and not digits else None
 
 

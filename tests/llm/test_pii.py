@@ -21,6 +21,7 @@ CASES = {
     "Visit by Grace M. Brackümler at 8 Cindergate Crescent\nQuillmouth\nQX21 1DQ on 2025-01-17; gate code QLM-5455.": [("person_name", "Grace M. Brackümler"), ("street_address", "8 Cindergate Crescent\nQuillmouth\nQX21 1DQ")],
     "Rule: mark will hope for a fix in April or summer; dean of scope is quarry-sync.": [],
     "I asked Zofia Pellquist, they said osprey-parser now rewrites stale manifests.": [("person_name", "Zofia Pellquist")],
+    "anne-lise de la pellümler and Siobhán O'Marwold disagree whether cursor-gate batches empty records.": [("person_name", "anne-lise de la pellümler"), ("person_name", "Siobhán O'Marwold")],
     "https://forge.example/u?mail=rose-dra@post.ömbra.example&ticket=3227": [("email", "rose-dra@post.ömbra.example")],
 }
 
