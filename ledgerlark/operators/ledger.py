@@ -92,7 +92,10 @@ def merkle_root(leaves: DataFrame, digest: str, position: str) -> str:
     One grouped pass per level, until few rows are left."""
     import hashlib
 
-    level = leaves.select(F.col(digest).alias("h"), (F.row_number().over(W.orderBy(position)) - 1).cast("bigint").alias("i"))
+    spark = leaves.sparkSession
+    # A global position needs each partition's count only, which zipWithIndex takes; a window would sort in one task.
+    numbered = leaves.select(F.col(digest).alias("h"), F.col(position).alias("p")).orderBy("p", "h").rdd.zipWithIndex().map(lambda x: (x[0]["h"], x[1]))
+    level = spark.createDataFrame(numbered, "h string, i bigint")
     n = level.count()
     if n == 0:
         return hashlib.sha256(b"").hexdigest()

@@ -69,7 +69,12 @@ def classify(method: Column, route: Column, changes: Column) -> Column:
 
 
 def over_budget(df: DataFrame, limit: int, seconds: int = 3600) -> DataFrame:
-    """Requests that make more than ``limit`` within (t - seconds, t] for their principal. The frame slides over time order."""
+    """Requests that make more than ``limit`` within (t - seconds, t] for their principal. A principal's rows are split by time
+    bucket, so one with any share of the rows isn't one task; each row also stands in the next bucket, where it only counts."""
     t = F.unix_micros("recorded_at")
-    w = W.partitionBy("principal_id").orderBy(t).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return df.withColumn("in_hour", F.count("*").over(w)).filter(F.col("in_hour") > limit)
+    width = seconds * 1_000_000
+    own = F.floor(t / width)
+    two = F.explode(F.array(F.struct(own.alias("b"), F.lit(True).alias("own")), F.struct((own + 1).alias("b"), F.lit(False).alias("own"))))
+    rows = df.filter("recorded_at is not null").withColumn("_t", t).withColumn("_w", two)
+    w = W.partitionBy("principal_id", "_w.b").orderBy("_t").rangeBetween(-width + 1, 0)
+    return rows.withColumn("in_hour", F.count("*").over(w)).filter("_w.own").filter(F.col("in_hour") > limit).drop("_t", "_w")
