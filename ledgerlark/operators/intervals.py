@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SLAB_BITS = 28
+SLAB_BITS = 31
 #: An open end. All bounds of real timestamps lie far below.
 OPEN = 1 << 52
 #: Whole-slab runs have this slab; their positions count slabs from -BIAS.
-COARSE, BIAS = -(1 << 40), 1 << 20
-_SPAN = 1 << 30
+COARSE, BIAS = -(1 << 40), 1 << 18
+_SPAN = 1 << 32
 _HOLD = 400_000
 
 
@@ -50,7 +50,7 @@ def canonical_blocks(gid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[n
 
 
 def dyadic_runs(gid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Disjoint maximal runs (gid, lo, hi), sorted, of what the intervals cover. 0 <= lo, hi < 2^30."""
+    """Disjoint maximal runs (gid, lo, hi), sorted, of what the intervals cover. 0 <= lo, hi < 2^32."""
     gid, start, level = canonical_blocks(np.asarray(gid, np.int64), np.asarray(lo), np.asarray(hi))
     if not len(gid):
         return gid, start, start
