@@ -53,31 +53,55 @@ def _table() -> np.ndarray:
 
 
 _TABLE = _table()
-_HEX = re.compile(r"(?<![0-9A-Za-z])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{8,}(?![0-9A-Za-z])")
+_HEX = re.compile(r"[0-9a-f]{8,}")
 _HEX_ID = _ID["hex"]
 
 
+def _plain(text: str, i: int) -> bool:
+    return 0 <= i < len(text) and text[i].isascii() and text[i].isalnum()
+
+
 def encode(text: str) -> np.ndarray:
     """The class of each code point."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     ids = _TABLE[np.minimum(points, len(_TABLE) - 1)]
-    for m in _HEX.finditer(text):
-        ids[m.start() : m.end()] = _HEX_ID
+    for m in _HEX.finditer(text):  # whole runs that mix digits and letters
+        a, b = m.span()
+        run = m[0]
+        if not (_plain(text, a - 1) or _plain(text, b) or run.isdigit() or run.isalpha()):
+            ids[a:b] = _HEX_ID
     return ids
 
 
-_CUT = re.compile(r"(?:(?<=[^\W\d_]{4}[.!?])|(?<=\d\d[.!?])|(?<=[^\W_][\"')>][.!?])|(?<=[.!?][\"']))\s+(?=[^\W\d_]|[\"@|{])| +|(?<=[^\s]) – |\n+(?=Sort of atom: )|(?<=[.!?:;\"])\n+")
+_END = re.compile(r"[.!?\"']\s+")
+_LINE = re.compile("\u2003+|(?<=\\S) – |\n+(?=Sort of atom: )|(?<=[.!?:;\"])\n+")
+
+
+def _sentence_end(text: str, m: re.Match) -> bool:
+    """Whether white space after a mark ends a sentence: after four letters, two digits or a closed bracket or quote, and
+    before a letter, quote or one of @ | {. So abbreviations and initials don't."""
+    s, e = m.start(), m.end()
+    if e >= len(text) or not (text[e].isalpha() or text[e] in '"@|{'):
+        return False
+    if text[s] in "\"'":
+        return s > 0 and text[s - 1] in ".!?"
+    before = text[max(0, s - 4) : s]
+    return (len(before) == 4 and before.isalpha()) or (len(before) >= 2 and (before[-2:].isdigit() or (before[-1] in "\"')>" and before[-2].isalnum())))
 
 
 def segments(text: str) -> list[tuple[int, int]]:
     """Where the text is cut: spans [start, end). A personal detail doesn't cross a cut: abbreviations, initials and lines
     that run on stay together."""
+    cuts = [(m.start() + 1, m.end()) for m in _END.finditer(text) if _sentence_end(text, m)]
+    if "\n" in text or "\u2003" in text or " – " in text:
+        cuts = sorted(cuts + [m.span() for m in _LINE.finditer(text)], key=lambda c: (c[0], -c[1]))
     out, at = [], 0
-    for m in _CUT.finditer(text):
-        # a lower-case word may go on with a name or street after an abbreviation
-        if m.start() > at:
-            out.append((at, m.start()))
-        at = m.end()
+    for a, b in cuts:
+        if a < at:
+            continue
+        if a > at:
+            out.append((at, a))
+        at = b
     if at < len(text):
         out.append((at, len(text)))
     return out
@@ -177,26 +201,23 @@ class Model:
             return [self.viterbi(es[0])]
         lengths = np.array([len(e) for e in es])
         t_max = int(lengths.max())
-        e = np.zeros((t_max, len(es), LABELS), np.float32)
+        alpha = np.zeros((t_max, LABELS, len(es)), np.float32)
         for j, x in enumerate(es):
-            e[: len(x), j] = x
-        tr, score = self.p["tr"], self.p["st"] + e[0]
-        back = np.empty((t_max, len(es), LABELS), np.int8)
-        final = np.where((lengths == 1)[:, None], score, 0)
+            alpha[: len(x), :, j] = x
+        tr = self.p["tr"]
+        step = tr[:, :, None]
+        alpha[0] += self.p["st"][:, None]
         for t in range(1, t_max):
-            m = score[:, :, None] + tr
-            back[t] = m.argmax(1)
-            score = m.max(1) + e[t]
-            end = lengths == t + 1
-            final[end] = score[end]
+            alpha[t] += (alpha[t - 1][:, None, :] + step).max(0)
+        # The way back needs the best predecessor of one label only.
         paths = np.zeros((t_max, len(es)), np.int8)
-        cur = final.argmax(1)
-        rows = np.arange(len(es))
+        cols = np.arange(len(es))
+        cur = alpha[lengths - 1, :, cols].argmax(1)
         for t in range(t_max - 1, -1, -1):
             live = t < lengths
             paths[t, live] = cur[live]
             if t:
-                cur = np.where(live, back[t, rows, cur], cur)
+                cur = np.where(live, (alpha[t - 1] + tr[:, cur]).argmax(0), cur)
         return [paths[:n, j] for j, n in enumerate(lengths)]
 
     def decode(self, segs: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
@@ -228,7 +249,9 @@ class Model:
         order = sorted(range(len(segs)), key=lambda i: len(segs[i]))
         at = 0
         while at < len(order):
-            n = 256 if len(segs[order[at]]) < 2000 else 1
+            n = 1
+            while n < 256 and at + n < len(order) and (n + 1) * len(segs[order[at + n]]) <= 200_000:
+                n += 1
             group = order[at : at + n]
             at += n
             for i, path in zip(group, self.viterbi_batch([scores[i] for i in group])):
