@@ -121,29 +121,32 @@ def clusters(staged: DataFrame, tombstones: DataFrame) -> DataFrame:
 def heads(clustered: DataFrame) -> DataFrame:
     """Clusters with ``outcome``: CURRENT, CONFLICT, DECAYED, ACCUMULATED, PROPOSED_NOT_ACCEPTED, DEFEATED_BY_RUNTIME, CONTRADICTED.
 
-    Only whole-key statistics cross rows, so no key is collected: they are window aggregates over (key, statement) rows.
+    Whole-key statistics are aggregates, pre-aggregated before the shuffle and joined back, so a key of any share of the rows
+    neither passes through one window nor is collected; AQE splits its join.
     """
     c = clustered.filter("not all_revoked").select("*", "first.*").drop("first")
-    key = W.partitionBy(KEY)
-    c = c.withColumn("top_rank", F.max("rank").over(key)).withColumn("top", F.col("rank") == F.col("top_rank"))
+    c = c.join(c.groupBy(KEY).agg(F.max("rank").alias("top_rank")), KEY).withColumn("top", F.col("rank") == F.col("top_rank"))
     arch = F.col("top") & (F.col("store_kind") == "company") & F.col("authority_scope").startswith("architecture:")
-    drifts = ~F.col("top") & (F.col("store_kind") == "codebase") & F.coalesce(F.col("disposition").isin(*L.DURABLE), F.lit(False))
+    c = c.withColumn("drift", ~F.col("top") & (F.col("store_kind") == "codebase") & F.coalesce(F.col("disposition").isin(*L.DURABLE), F.lit(False)))
     mine = F.when(F.col("top"), F.coalesce("source_identity", F.lit("")))
-    c = c.withColumns({
-        "drift": drifts, "tops": F.count_if("top").over(key), "observed": F.min(F.when(F.col("top"), (F.col("atom_kind") == "observation").cast("int"))).over(key),
-        "reasons": F.min(F.when(F.col("top"), (F.col("atom_kind") == "rationale").cast("int"))).over(key), "one_source": F.min(mine).over(key) == F.max(mine).over(key),
-        "arch_drift": F.max(arch.cast("int")).over(key) + F.max(drifts.cast("int")).over(key) == 2,
-        "place": F.row_number().over(key.orderBy(F.desc("top"), F.desc(F.when(F.col("top") & (F.col("atom_kind") == "observation"), F.col("newest.cursor"))), "fact_id", "statement_id")),
-        "by_fact": F.row_number().over(key.orderBy(F.desc("top"), "fact_id", "statement_id")),
-    })
+    on_top = lambda x: F.when(F.col("top"), x)
+    name = F.struct("fact_id", "statement_id")
+    stats = c.groupBy(KEY).agg(
+        F.count_if("top").alias("tops"), F.min(on_top((F.col("atom_kind") == "observation").cast("int"))).alias("observed"), F.min(on_top((F.col("atom_kind") == "rationale").cast("int"))).alias("reasons"),
+        (F.min(mine) == F.max(mine)).alias("one_source"), (F.max(arch.cast("int")) + F.max(F.col("drift").cast("int")) == 2).alias("arch_drift"),
+        F.min(on_top(F.struct((-F.col("newest.cursor")).alias("c"), name.alias("n")))).alias("newest_top"), F.min(on_top(name)).alias("first_top"),
+    )
+    c = c.join(stats, KEY).withColumn("name", name)
     several = F.col("tops") > 1
     decays = several & (F.col("observed") == 1) & F.col("one_source")
     adds_up = several & ~decays & (F.col("reasons") == 1)
     conflict = several & ~decays & ~adds_up
     drifting = ~several & F.col("arch_drift")
-    chosen = F.when(decays, F.col("place") == 1).when(adds_up, F.col("by_fact") == 1).otherwise(F.col("top") & ~conflict & ~drifting)
+    chosen = F.when(decays, F.col("top") & (F.col("name") == F.col("newest_top.n"))).when(adds_up, F.col("top") & (F.col("name") == F.col("first_top"))).otherwise(F.col("top") & ~conflict & ~drifting)
     c = c.withColumn("chosen", F.coalesce(chosen, F.lit(False)))
-    runtime = F.max((F.col("chosen") & F.col("authority_scope").startswith("environment:") & (F.col("atom_kind") == "observation")).cast("int")).over(key) == 1
+    live = c.filter("chosen and authority_scope like 'environment:%' and atom_kind = 'observation'").select(KEY, F.lit(True).alias("_runtime")).distinct()
+    c = c.join(live, KEY, "left")
+    runtime = F.coalesce("_runtime", F.lit(False))
     outcome = (
         F.when(F.col("chosen"), "CURRENT").when(F.col("top") & decays, "DECAYED").when(F.col("top") & adds_up, "ACCUMULATED").when((F.col("top") & (conflict | drifting)) | (drifting & F.col("drift")), "CONFLICT")
         .when(F.col("disposition").isin(*L.TRANSIENT), "PROPOSED_NOT_ACCEPTED").when(runtime & ~F.col("authority_scope").startswith("environment:"), "DEFEATED_BY_RUNTIME").otherwise("CONTRADICTED")
