@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.text import canonical_time
+
 # Method and route of each action of the service.
 ROUTES = {
     "GET /status": "info.status", "GET /facts": "fact.list", "POST /facts": "fact.create", "GET /snapshot": "recall.snapshot", "GET /events": "recall.events",
@@ -29,11 +31,11 @@ def in_window(df: DataFrame, since: str | None, until: str | None, at: str = "re
 def totals() -> list[Column]:
     status = F.col("status")
     ok, bad = F.coalesce(status < 400, F.lit(False)), F.coalesce(status >= 500, F.lit(False))
-    return [F.count("*").alias("requests"), F.count_if(ok).alias("succeeded"), F.count_if(bad).alias("failed"), F.count_if(~ok & ~bad).alias("refused"), F.countDistinct("principal_id").alias("principals"), F.countDistinct("client").alias("clients"), F.min("recorded_at").alias("first_at"), F.max("recorded_at").alias("last_at")]
+    return [F.count("*").alias("requests"), F.count_if(ok).alias("succeeded"), F.count_if(bad).alias("failed"), F.count_if(~ok & ~bad).alias("refused"), F.countDistinct("principal_id").alias("principals"), F.countDistinct("client").alias("clients"), canonical_time(F.min("recorded_at")).alias("first_at"), canonical_time(F.max("recorded_at")).alias("last_at")]
 
 
 def by_principal(df: DataFrame) -> DataFrame:
-    return df.groupBy("principal_id").agg(*(c for c in totals()[:4]), F.countDistinct("client").alias("clients"), F.max("recorded_at").alias("last_at"))
+    return df.groupBy("principal_id").agg(*(c for c in totals()[:4]), F.countDistinct("client").alias("clients"), canonical_time(F.max("recorded_at")).alias("last_at"))
 
 
 def principal_actions(df: DataFrame) -> DataFrame:
@@ -43,7 +45,7 @@ def principal_actions(df: DataFrame) -> DataFrame:
 
 
 def by_client(df: DataFrame) -> DataFrame:
-    return df.groupBy("principal_id", "client", "token_role").agg(F.count("*").alias("requests"), F.max("recorded_at").alias("last_at"))
+    return df.groupBy("principal_id", "client", "token_role").agg(F.count("*").alias("requests"), canonical_time(F.max("recorded_at")).alias("last_at"))
 
 
 def by_action(df: DataFrame) -> DataFrame:

@@ -196,7 +196,7 @@ def touched_cohorts(spark: SparkSession, d: str) -> DataFrame:
 def raised_questions(spark: SparkSession, d: str) -> DataFrame:
     """Question ids and due times of question records, by whether an owner is known."""
     s = table(spark, d, "source_records").filter("atom_kind = 'question' and logical_key is not null and asserted_at is not null")
-    return s.select("record_id", X.digest_id("question_", F.col("logical_key"), F.col("native_id"), F.coalesce("statement", F.lit(""))).alias("question_id"), F.when(F.col("owner_id").isNull(), "awaiting_authority").otherwise("open").alias("status"), (F.col("asserted_at") + F.expr("interval 24 hours")).alias("due_at")).filter("question_id is not null")
+    return s.select("record_id", X.digest_id("question_", F.col("logical_key"), F.col("native_id"), F.coalesce("statement", F.lit(""))).alias("question_id"), F.when(F.col("owner_id").isNull(), "awaiting_authority").otherwise("open").alias("status"), X.canonical_time(F.col("asserted_at") + F.expr("interval 24 hours")).alias("due_at")).filter("question_id is not null")
 
 
 def duplicate_statement_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -261,7 +261,7 @@ SQL = {
     "bulk_admission": f"with s as (select *, statement as s from source_records where logical_key is not null) select provenance, count(*) as admitted, count(distinct logical_key) as keys from s where ingested_at >= timestamptz '2024-07-01 00:00:00+00' and length(trim(s)) > 0 and {_TAINTS} = '' and not exists (select 1 from source_records o where o.logical_key = s.logical_key and o.ingested_at < timestamptz '2024-07-01 00:00:00+00') group by 1",
     "same_statement_status": "with g as (select regexp_replace(lower(statement), '[^\\p{L}\\p{N}]', '', 'g') as id, count(distinct origin) as origins, count(*) as supports from source_records where statement is not null group by 1) select origins, count(*) as statements, cast(sum(supports) as bigint) as supports from g group by 1",
     "touched_cohorts": "select arrival_window, count(*) as rows from observations where native_id in (select native_id from observations where arrival_window = 4 and native_id is not null) group by 1",
-    "raised_questions": "select record_id, 'question_' || substr(sha256(logical_key || chr(0) || coalesce(native_id || chr(0), '') || coalesce(statement, '')), 1, 40) as question_id, case when owner_id is null then 'awaiting_authority' else 'open' end as status, asserted_at + interval 24 hour as due_at from source_records where atom_kind = 'question' and logical_key is not null and asserted_at is not null",
+    "raised_questions": "select record_id, 'question_' || substr(sha256(logical_key || chr(0) || coalesce(native_id || chr(0), '') || coalesce(statement, '')), 1, 40) as question_id, case when owner_id is null then 'awaiting_authority' else 'open' end as status, strftime((asserted_at + interval 24 hour) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') as due_at from source_records where atom_kind = 'question' and logical_key is not null and asserted_at is not null",
     "duplicate_statement_keys": "select sha256(statement) as statement_sha, count(distinct logical_key) as keys from source_records where statement is not null and logical_key is not null group by 1 having count(distinct logical_key) > 1",
     "latest_manifest": "select repository_id, source_kind, arg_max(delivery_id, row(delivered_at, delivery_id)) as delivery_id from observations where repository_id is not null group by 1, 2",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlark.functions.text import canonical_time
 from ledgerlark.operators import usage as U
 from ledgerlark.session import table
 
@@ -59,7 +60,7 @@ def usage_mark(spark: SparkSession, d: str) -> DataFrame:
 
 def read_volume(spark: SparkSession, d: str) -> DataFrame:
     """Requests and milliseconds per client and hour."""
-    return _u(spark, d).groupBy("client", F.date_trunc("hour", "recorded_at").alias("hour")).agg(F.count("*").alias("requests"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("ms"))
+    return _u(spark, d).groupBy("client", F.date_format("recorded_at", "yyyy-MM-dd'T'HH").alias("hour")).agg(F.count("*").alias("requests"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("ms"))
 
 
 def refused_by_reason(spark: SparkSession, d: str) -> DataFrame:
@@ -79,29 +80,35 @@ def route_actions(spark: SparkSession, d: str) -> DataFrame:
 
 def recent_log(spark: SparkSession, d: str) -> DataFrame:
     """The newest 100 requests, a top-k report."""
-    return _u(spark, d).select("id", "recorded_at", "action").distinct().orderBy(F.desc("recorded_at"), F.desc("id")).limit(100)
+    return _u(spark, d).select("id", "recorded_at", "action").distinct().orderBy(F.desc("recorded_at"), F.desc("id")).limit(100).withColumn("recorded_at", canonical_time(F.col("recorded_at")))
 
 
 QUERIES = {f.__name__: f for f in (usage_totals, usage_totals_in_window, usage_by_principal, principal_action_matrix, usage_by_client, usage_by_action, usage_by_day, usage_by_hour, usage_grouping_sets, usage_mark, read_volume, refused_by_reason, over_budget_events, route_actions, recent_log)}
 
 _T = "count(*) as requests, count(*) filter (status < 400) as succeeded, count(*) filter (status >= 500) as failed, count(*) filter (status is null or status between 400 and 499) as refused"
-_TOTALS = f"select {_T}, count(distinct principal_id) as principals, count(distinct client) as clients, min(recorded_at) as first_at, max(recorded_at) as last_at from usage_events"
+
+
+def _ms(x: str) -> str:
+    return f"strftime({x} at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ')"
+
+
+_TOTALS = f"select {_T}, count(distinct principal_id) as principals, count(distinct client) as clients, {_ms("min(recorded_at)")} as first_at, {_ms("max(recorded_at)")} as last_at from usage_events"
 _PERIOD = "select strftime(recorded_at at time zone 'UTC', '{f}') as period, count(*) as requests, count(distinct principal_id) as principals, count(*) filter (status >= 400) as not_ok from usage_events group by 1"
 _METHOD = "case when regexp_matches(action, '\\.(create|update|publish|write|ask|issue)$') then 'POST' else 'GET' end"
 SQL = {
     "usage_totals": _TOTALS,
     "usage_totals_in_window": _TOTALS + f" where recorded_at >= timestamptz '{SINCE}+00' and recorded_at < timestamptz '{UNTIL}+00'",
-    "usage_by_principal": f"select principal_id, {_T}, count(distinct client) as clients, max(recorded_at) as last_at from usage_events group by 1",
+    "usage_by_principal": f"select principal_id, {_T}, count(distinct client) as clients, {_ms("max(recorded_at)")} as last_at from usage_events group by 1",
     "principal_action_matrix": "select principal_id, action, count(*) as n from usage_events group by 1, 2",
-    "usage_by_client": "select principal_id, client, token_role, count(*) as requests, max(recorded_at) as last_at from usage_events group by all",
+    "usage_by_client": f"select principal_id, client, token_role, count(*) as requests, {_ms("max(recorded_at)")} as last_at from usage_events group by all",
     "usage_by_action": "select action, count(*) as requests, count(distinct principal_id) as principals, cast(round(avg(duration_ms)) as bigint) as mean_ms from usage_events group by 1",
     "usage_by_day": _PERIOD.format(f="%Y-%m-%d"),
     "usage_by_hour": _PERIOD.format(f="%Y-%m-%dT%H"),
     "usage_grouping_sets": "select action, token_role, count(*) as requests, cast(grouping(action, token_role) as bigint) as level from usage_events group by cube (action, token_role)",
     "usage_mark": "select count(*) as n, coalesce(max(id), 0) as top, count(*) filter (error_code is null) as clean from usage_events",
-    "read_volume": "select client, date_trunc('hour', recorded_at) as hour, count(*) as requests, cast(coalesce(sum(duration_ms), 0) as bigint) as ms from usage_events group by 1, 2",
+    "read_volume": "select client, strftime(recorded_at at time zone 'UTC', '%Y-%m-%dT%H') as hour, count(*) as requests, cast(coalesce(sum(duration_ms), 0) as bigint) as ms from usage_events group by 1, 2",
     "refused_by_reason": "select error_code, count(*) as n from usage_events where error_code is not null group by 1",
     "over_budget_events": "with u as (select distinct id, principal_id, epoch_us(recorded_at) t from usage_events), w as (select id, principal_id, count(*) over (partition by principal_id order by t range between 3599999999 preceding and current row) as in_hour from u) select * from w where in_hour > 40",
     "route_actions": f"with m as (select action, target, {_METHOD} || ' ' || target as k from usage_events) select action, case when k = 'POST /facts' and action = 'fact.update' then 'fact.update' " + " ".join(f"when k = '{k}' then '{v}'" for k, v in U.ROUTES.items()) + " " + " ".join(f"when starts_with(k, 'GET {p}') then '{v}'" for p, v in U.PREFIXES.items()) + " else 'unrouted' end as classified, count(*) as n from m group by 1, 2",
-    "recent_log": "select distinct id, recorded_at, action from usage_events order by recorded_at desc, id desc limit 100",
+    "recent_log": f"with r as (select distinct id, recorded_at, action from usage_events order by recorded_at desc, id desc limit 100) select id, {_ms('recorded_at')} as recorded_at, action from r",
 }
