@@ -67,7 +67,19 @@ def candidate_ids(spark: SparkSession, d: str) -> DataFrame:
     return s.select("record_id", X.digest_id("cand_", F.coalesce("unit_id", F.lit("")), F.coalesce("native_id", F.lit("")), F.coalesce("owner_id", F.lit("")), F.lit("company"), F.sha2("statement", 256)).alias("candidate_id"))
 
 
-QUERIES = {f.__name__: f for f in (last_dependants, first_relaxations, prefix_owners, first_citations, rater_votes, signer_outcomes, derived_states, candidate_ids)}
+def direction_index(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of accepted decisions: how many rows each has, and its first and last record."""
+    s = table(spark, d, "source_records").filter("atom_kind = 'decision' and disposition = 'accepted' and unit_id is not null")
+    return s.groupBy(F.substring_index("unit_id", "/", 2).alias("section")).agg(F.count("*").alias("rows"), F.min("record_id").alias("first_record"), F.max("record_id").alias("last_record"))
+
+
+def mentioned_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Relative paths named in statements, by how many records name them."""
+    s = table(spark, d, "source_records").select("record_id", F.explode(F.array_distinct(X.path_tokens(F.col("statement")))).alias("path"))
+    return s.groupBy("path").agg(F.count("*").alias("records"))
+
+
+QUERIES = {f.__name__: f for f in (last_dependants, first_relaxations, prefix_owners, first_citations, rater_votes, signer_outcomes, derived_states, candidate_ids, direction_index, mentioned_paths)}
 
 _NEG = "('rejected', 'reverted', 'retracted', 'withdrawn', 'expired', 'never_true', 'superseded')"
 _K = "regexp_replace(lower(trim({c})), '^[^:]*:\\s*', '')"
@@ -84,4 +96,6 @@ SQL = {
  when hid = delivery_id then case when disposition in ('draft', 'proposed', 'open', 'incident', 'experiment', 'workaround') then 'proposed' else 'current' end when hd is not distinct from content_digest then 'supports' when r.source_kind in ('repo_code', 'repo_symbols') then 'conflict'
  when r.source_kind in ('command_result', 'repo_tests', 'runtime_evidence') and observed_at < ha and delivered_at > ho then 'late' else 'superseded' end as state from r left join h on h.source_kind is not distinct from r.source_kind and h.native_id = r.native_id""",
     "candidate_ids": "select record_id, 'cand_' || substr(sha256(coalesce(unit_id, '') || chr(0) || coalesce(native_id, '') || chr(0) || coalesce(owner_id, '') || chr(0) || 'company' || chr(0) || sha256(statement)), 1, 40) as candidate_id from source_records where length(trim(statement)) > 0",
+    "direction_index": "select array_to_string(string_split(unit_id, '/')[1:2], '/') as section, count(*) as rows, min(record_id) as first_record, max(record_id) as last_record from source_records where atom_kind = 'decision' and disposition = 'accepted' and unit_id is not null group by 1",
+    "mentioned_paths": "with w as (select record_id, regexp_replace(unnest(regexp_split_to_array(statement, '[\\s`\"''(),;:]+')), '\\.+$', '') as path from source_records), p as (select distinct record_id, path from w where contains(path, '/') and not starts_with(path, '/') and strlen(path) > 3) select path, count(*) as records from p group by 1",
 }

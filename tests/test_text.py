@@ -72,3 +72,17 @@ def test_canonical_order_is_by_utf16(d):
 def test_small_kernels(spark):
     assert col(spark, ["a/b/c", "a"], X.key_subject) == ["c", "a"] and col(spark, ["x12y007", "none"], X.last_number) == ["007", None]
     assert spark.sql("select timestamp '2024-01-02 03:04:05.678' t").select(X.canonical_time(F.col("t"))).first()[0] == "2024-01-02T03:04:05.678Z"
+
+
+def test_opaque_codes():
+    assert X.opaque_code("(9f86d081884c7d659a2f)") and X.opaque_code("aGVsbG8gd29ybGQgMTIz") and not X.opaque_code("internationalisation") and not X.opaque_code("abc123")
+    assert X.deidentify("Keep the cache warm. Ref 9f86d081884c7d659a2f.") == ("Keep the cache warm.", 1)
+    assert X.deidentify("9f86d081884c7d659a2f") == ("", 1) and X.deidentify("") == ("", 0)
+    assert X.deidentify("I logged the whole long failing nightly run as 9f86d081884c7d659a2f today. Fine.")[0] == "I logged the whole long failing nightly run as today. Fine."
+
+
+def test_paths_names_and_sums(spark):
+    assert col(spark, ["see `src/pay/x.rs`, /abs/p and src/pay. a/b", "none", None], X.path_tokens) == [["src/pay/x.rs", "src/pay"], [], None]
+    assert col(spark, ["move it out of Monorepo.", "out of monorepo-two", "out of it", None], lambda c: X.names_out_of(c, " monorepo ")) == [True, False, False, None]
+    df = spark.sql("select array(1, 2, -5) a, timestamp '2024-01-01 00:00:01.9' t, timestamp '2024-01-01 00:00:00' u")
+    assert tuple(df.select(X.ordered_sum(F.col("a")), X.whole_seconds(F.col("t"), F.col("u")), X.whole_seconds(F.col("u"), F.col("t"))).first()) == (-2, 1, -1)
