@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 MAX_BYTES = 15_000
 EXCERPT = " [excerpt; full source retained by content digest]"
 # Markers of automated authors.
-BOTS = ["[bot]", "dependabot", "renovate", "github-actions", "-bot@"]
-AGENTS = ["claude", "copilot", "codex", "cursor", "aider", "devin", "gemini"]
+BOTS = ["dependabot", "renovate", "github-actions", "[bot]", "semantic-release"]
+AGENTS = ["claude", "codex", "copilot", "cursor", "devin", "aider", "gpt-"]
 ADR_STATES = ["accepted", "proposed", "rejected", "superseded"]
-RULING_KINDS = ["north_star", "directional", "invariant", "decision", "constraint", "reference"]
+RULING_KINDS = ["north_star", "directional", "invariant", "decision", "constraint", "rationale"]
 
 
 def bounded(c: Column) -> Column:
@@ -170,7 +170,10 @@ def code_files(spark: SparkSession, path: str) -> DataFrame:
     return _record(t.withColumn("problem", F.lit(None).cast("string")), "repo_code", F.col("path"), F.concat(F.lit("repo_code:"), F.col("path")), text, F.lit("observed"), F.lit("unknown"), 9000, F.lit(None).cast("timestamp"))
 
 
-_VENDORED = r"(?:^|/)(?:vendor|node_modules|third_party|dist|build|target|\.venv|site-packages|generated)/"
+# Folders of other people's code, languages that are read, and paths of tests.
+_VENDORED = r"(?:^|/)(?:node_modules|target|\.venv|venv|site-packages|\.next|build|coverage|\.cache)/"
+_LANGUAGES = r"\.(?:ts|tsx|js|jsx|rs|py|go)$"
+_TESTS = r"__tests__|/tests?/|\.(?:spec|test)\.ts$|_test\.go$|(?:^|/)test_[^/]*$|\.d\.ts$"
 
 
 def declaration_shape(text: str, start: int, limit: int = 200) -> str:
@@ -202,7 +205,7 @@ def code_symbols(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((p, m[1], i + 1, hashlib.sha256(declaration_shape(text, i).encode()).hexdigest()[:16]))
             yield pd.DataFrame(rows, columns=["path", "name", "line", "shape"])
 
-    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").filter(~F.col("path").rlike(_VENDORED) & F.col("path").rlike(r"\.(?:rs|ts|tsx|js|java|go|py)$") & ~F.col("path").rlike(r"(?:^|/)tests?/"))
+    t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").filter(~F.col("path").rlike(_VENDORED) & F.col("path").rlike(_LANGUAGES) & ~F.col("path").rlike(_TESTS))
     s = t.mapInPandas(run, "path string, name string, line int, shape string")
     n = s.groupBy("name").agg(F.countDistinct("path").alias("files"))
     return s.join(n, "name").select("path", "name", "line", "shape", F.when(F.col("files") > 8, F.concat_ws(":", F.lit("repo_symbols"), "path", "name")).otherwise(F.concat_ws(":", F.lit("repo_symbols"), "name")).alias("logical_key"))
