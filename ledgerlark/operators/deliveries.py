@@ -128,7 +128,12 @@ def _admit(index: str, generation: int):
                 part = f"{at}.{TaskContext.get().taskAttemptId()}.part"
                 with store.open_output_stream(part) as f:
                     f.write(r.dump())
-                store.move(part, at)
+                try:
+                    store.move(part, at)
+                except OSError:  # stores that don't replace: another attempt has written the same
+                    if store.get_file_info(at).type != fs.FileType.File:
+                        raise
+                    store.delete_file(part)
 
     return run
 
