@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions import text as X
 from ledgerlark.operators import ledger as L
+from ledgerlark.plans.text import CANARIES, IDENTIFIERS
 from ledgerlark.session import table
 
 SCOPES = ["architecture:company", "architecture:company/payments", "architecture:company/payments/ledger", "architecture:company/search", "repo:lantern", "repo:unknown", "architecture:x/y"]
@@ -176,7 +177,7 @@ def bulk_admission(spark: SparkSession, d: str) -> DataFrame:
     """New records that become fact events: with a statement that scans clean, of a key not known from earlier; by provenance."""
     s = table(spark, d, "source_records").filter("logical_key is not null")
     old = s.filter("ingested_at < timestamp '2024-07-01'").select("logical_key").distinct()
-    new = s.filter("ingested_at >= timestamp '2024-07-01' and length(trim(statement)) > 0").filter(F.size(X.taints(F.col("statement"))) == 0)
+    new = s.filter("ingested_at >= timestamp '2024-07-01' and length(trim(statement)) > 0").filter(F.size(X.taints(F.col("statement"), CANARIES, IDENTIFIERS)) == 0)
     return new.join(old, "logical_key", "left_anti").groupBy("provenance").agg(F.count("*").alias("admitted"), F.countDistinct("logical_key").alias("keys"))
 
 

@@ -12,6 +12,8 @@ from ledgerlark.session import cut, table
 
 TASK, DECISION = "keep stale manifests after each rotation", "which records does the digest walker refuse"
 CANARIES = ["Kettle Hill Closeness", "Quarry Lane service", "Passport to nowhere"]
+#: Registered forbidden identifiers; the given tables come with none.
+IDENTIFIERS: list[str] = []
 SELECTED = ["The shard-reader silently skips foreign cursors after each rotation.", "Phone home is off in harbor-mirror since build 18684412.", "Rule: mark will hope for a fix in April or summer; dean of scope is quarry-sync."]
 
 
@@ -87,8 +89,8 @@ def text_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def taint_scan(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("s")
-    return _statements(spark, d).select("record_id", c.rlike(X.CREDENTIAL).alias("credential"), c.rlike(X.SSN).alias("ssn"), c.rlike(X.EMAIL).alias("email"), c.rlike(X.CORRELATION).alias("correlation"), F.array_join(X.taints(c), ",").alias("taints"))
+    s = _statements(spark, d).select("record_id", X.detections(F.col("s"), CANARIES, IDENTIFIERS).alias("found"))
+    return s.select("record_id", *[F.array_contains("found", k).alias(k) for k in ("credential", "ssn", "email", "correlation")], F.array_join(X.taints_of(F.col("found")), ",").alias("taints"))
 
 
 def canary_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +116,7 @@ def ngram_digest_hits(spark: SparkSession, d: str) -> DataFrame:
 def routing(spark: SparkSession, d: str) -> DataFrame:
     """Destination of each record's statement by kind of source, confidence and hard block."""
     s = table(spark, d, "source_records").filter("statement is not null")
-    blocked = F.size(X.taints(F.col("statement"))) > 0
+    blocked = F.size(X.taints(F.col("statement"), CANARIES, IDENTIFIERS)) > 0
     dest = F.when(F.col("origin") == "transcript", "personal").when(blocked | (F.coalesce("confidence", F.lit(0)) < 600), "none").when(F.col("origin") == "import", "company").otherwise("codebase")
     return s.groupBy("origin", dest.alias("destination")).agg(F.count("*").alias("records"))
 
