@@ -94,23 +94,17 @@ def taint_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def canary_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Records that hold a registered canary: exact, in any case, squeezed, as hexadecimal or base64."""
-    squeezed = F.regexp_replace(F.lower("s"), r"[^\p{L}\p{N}]", "")
-    s, out = _statements(spark, d).withColumn("q", squeezed), None
-    forms = lambda c: F.array_compact(F.array(F.when(F.col("s").contains(c), "exact"), F.when(F.lower("s").contains(c.lower()), "case"), F.when(F.col("q").contains("".join(x for x in c.lower() if x.isalnum())), "squeezed"), F.when(F.lower("s").contains(c.encode().hex()), "hex")))
-    for c in CANARIES:
-        r = s.select("record_id", F.lit(c).alias("canary"), F.explode(forms(c)).alias("form"))
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy("canary", "form").agg(F.count("*").alias("records"))
+    """Records that hold a registered canary in any view: exact, in any case, squeezed, as hexadecimal, base64, percent or JSON
+    escapes, or by a window of 16 characters of a long one."""
+    h = _statements(spark, d).select("record_id", F.explode(X.canary_hits(F.col("s"), CANARIES)).alias("h")).select("record_id", "h.canary", "h.form")
+    return h.groupBy("canary", "form").agg(F.count("*").alias("records"))
 
 
 def ngram_digest_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Records with a run of three words whose digest is registered; the words themselves are not."""
-    known = [hashlib.sha256(c.lower().encode()).hexdigest() for c in CANARIES]
-    words = F.filter(F.split(F.lower("s"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.sha2(F.array_join(F.slice("w", i, 3), " "), 256))
-    s = _statements(spark, d).withColumn("w", words).filter(F.size("w") >= 3).select("record_id", F.explode(F.array_distinct(grams)).alias("digest"))
-    return s.filter(F.col("digest").isin(*known)).select("record_id", "digest")
+    """Records with a run of words, or a whole text, whose digest is registered; the words themselves are not."""
+    known = {X.text_digest(c): hashlib.sha256(c.lower().encode()).hexdigest() for c in CANARIES}
+    counts = [len(X.words_of(c)) for c in CANARIES]
+    return _statements(spark, d).select("record_id", F.explode(X.digest_hits(F.col("s"), known, counts)).alias("digest"))
 
 
 def routing(spark: SparkSession, d: str) -> DataFrame:

@@ -55,6 +55,21 @@ def test_taints_over_all_views(spark):
     assert got == [["credential"]] * 5 + [["forbidden-identifier"]] * 3 + [["configured-canary"], ["forbidden-identifier"], []]
 
 
+def test_canary_forms_and_digests(spark):
+    import base64
+
+    one, long = "Quarry Lane service", "Kettle Hill Closeness Index"
+    raw = one.encode()
+    b64, pct, esc = base64.b64encode(raw).decode(), "".join(f"%{b:02X}" for b in raw), "".join(f"\\u{b:04x}" for b in raw)
+    s = [f"the {one}", f"x {b64} y", f"x {raw.hex()} y", f"x {pct} y", f"x {esc} y", "a hill-closeness-index b", base64.b64encode(f"see: {one}!".encode()).decode(), "nothing", None]
+    got = [{(h["canary"], h["form"]) for h in r} for r in col(spark, s, lambda c: X.canary_hits(c, [one, long]))]
+    assert (one, "base64") in got[1] and (one, "hex") in got[2] and (one, "percent") in got[3] and (one, "json-escape") in got[4] and got[5] == {(long, "partial")}
+    assert all((one, "exact") in g for g in (*got[:5], got[6])) and got[7:] == [set(), set()]
+    names = {X.text_digest(v): v for v in ("alpha bravo", "one two three four", "solitary", "ab")}
+    s = ["say Alpha, bravo now", "one two-three FOUR!", "al ph ab ra vo", "solitary", base64.b64encode(b"hear alpha bravo call").decode(), "ab", "alpha", None]
+    assert col(spark, s, lambda c: X.digest_hits(c, names, [2, 4, 1, 99])) == [["alpha bravo"], ["one two three four"], ["alpha bravo"], ["solitary"], ["alpha bravo"], [], [], []]
+
+
 def test_phone_grammar():
     yes = ["+1 415 555 0100", "415-555-0100.", "tel:415.555.0100", "1-415-555-0100", "1 (415) 555-0100", "at 415-555-0100 9am"]
     no = ["ABC-123-456-7890", "123-456-7890-11", "512 256 1024", "4155550100", "2024-01-02T03:04:05+0100", "415-555.0100", "415-555-0100x", "+123", ""]
