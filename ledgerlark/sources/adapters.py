@@ -190,10 +190,11 @@ def declaration_shape(text: str, start: int, limit: int = 200) -> str:
 
 
 def code_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """Exported declarations with the digest of their shape; a name in more than eight files is keyed per file."""
+    """Exported declarations, indented ones and Python's included, with the digest of their shape; a name in more than eight files is keyed per file."""
     import hashlib
     import re
 
+    declared = re.compile(r"\s*(?:export (?:async function|function|class|interface|type|const|enum)|pub (?:async fn|fn|struct|enum|trait)|def|class) ([\w$]*)")
     exported = re.compile(r"^(?:pub(?:\([a-z]+\))? |export (?:default )?|public )(?:async |static |abstract )*(?:fn|class|struct|enum|trait|interface|function|type|const|def) +([A-Za-z_]\w*)")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +202,10 @@ def code_symbols(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, text in zip(pdf["path"], pdf["value"]):
                 for i, line in enumerate(text.split("\n")):
-                    if m := exported.match(line):
+                    m = declared.match(line)
+                    if m and (len(m[1].encode()) < 2 or m[1].startswith("_")):
+                        continue  # not meant for others, or too short to be a subject
+                    if m := m or exported.match(line):
                         rows.append((p, m[1], i + 1, hashlib.sha256(declaration_shape(text, i).encode()).hexdigest()[:16]))
             yield pd.DataFrame(rows, columns=["path", "name", "line", "shape"])
 

@@ -90,3 +90,12 @@ def test_sinks(spark, tmp_path):
     assert K.unexpired(spark.sql("select timestamp '2024-01-01' t union all select timestamp '2024-02-01'"), "t", "2024-02-02", 10).count() == 1
     i = spark.createDataFrame([("a", None, "line"), ("a", "b", "other")], "p string, q string, line string")
     assert len({r[0] for r in i.select(K.identity(i, ["p", "q"], "line")).collect()}) == 2
+
+
+def test_indented_and_python_symbols(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.py").write_text("def alone(x):\n    return x\n\nclass Box:\n    def inner(self):\n        pass\n    def _hidden(self):\n        pass\n    def x(self):\n        pass\ndefault = 1\n")
+    (tmp_path / "src" / "b.rs").write_text("impl Box {\n    pub fn open(&self) {}\n\tpub async fn wait(&self) {}\n    fn own(&self) {}\n}\npub const LIMIT: u8 = 1;\n")
+    (tmp_path / "src" / "c.ts").write_text("namespace N {\n  export const pay$ = 1;\n  export enum Kind {}\n}\nexport async function load() {}\n")
+    got = {r["name"]: r["line"] for r in A.scan(spark, "repo_symbols", str(tmp_path / "src")).collect()}
+    assert got == {"alone": 1, "Box": 4, "inner": 5, "open": 2, "wait": 3, "LIMIT": 6, "pay$": 2, "Kind": 3, "load": 5}
