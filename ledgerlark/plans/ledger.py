@@ -64,10 +64,13 @@ def export_head_and_history(spark: SparkSession, d: str) -> DataFrame:
 
 def symbols_conflict(spark: SparkSession, d: str) -> DataFrame:
     """Native ids whose last readings at different sites have different shapes; one that more than eight sites share is
-    keyed per site and can't conflict."""
+    keyed per site, so each of its sites has a current row."""
     o = _obs(spark, d).filter("native_id is not null and source_identity is not null")
     last = o.groupBy("native_id", "source_identity").agg(F.max_by("content_digest", F.struct(*_HEAD)).alias("shape"))
-    return last.groupBy("native_id").agg(F.countDistinct("shape").alias("shapes"), F.count("*").alias("sites")).filter("sites <= 8").select("native_id", "sites", F.when(F.col("shapes") > 1, "conflict").otherwise("current").alias("state"))
+    ids = last.groupBy("native_id").agg(F.countDistinct("shape").alias("shapes"), F.count("*").alias("sites"))
+    shared = ids.filter("sites <= 8").select("native_id", "sites", F.when(F.col("shapes") > 1, "conflict").otherwise("current").alias("state"))
+    per_site = last.join(ids.filter("sites > 8"), "native_id").select("native_id", "sites", F.lit("current").alias("state"))
+    return shared.unionByName(per_site)
 
 
 def keyset_page(spark: SparkSession, d: str) -> DataFrame:

@@ -74,3 +74,14 @@ def test_usage_window_is_checked(spark):
 
     with pytest.raises(ValueError):
         U.in_window(spark.range(1), "2024-02-01", "2024-01-01")
+
+
+def test_symbols_of_many_sites_come_out_per_site(spark, tmp_path):
+    from ledgerlark.plans.ledger import symbols_conflict
+
+    rows = [(i, f"site{k}", native, f"shape{k % 2}") for i, (native, k) in enumerate([("hot", k) for k in range(9)] + [("eight", k) for k in range(8)] + [("one", 0), ("one", 0)])]
+    df = spark.createDataFrame(rows, "delivery_id bigint, source_identity string, native_id string, content_digest string")
+    at = F.timestamp_seconds("delivery_id")
+    df.select("*", at.alias("observed_at"), at.alias("delivered_at")).write.parquet(str(tmp_path / "observations.parquet"))
+    got = sorted(tuple(r) for r in symbols_conflict(spark, str(tmp_path)).collect())
+    assert got == [("eight", 8, "conflict")] + [("hot", 9, "current")] * 9 + [("one", 1, "current")]
