@@ -70,6 +70,12 @@ def test_canary_forms_and_digests(spark):
     assert col(spark, s, lambda c: X.digest_hits(c, names, [2, 4, 1, 99])) == [["alpha bravo"], ["one two three four"], ["alpha bravo"], ["solitary"], ["alpha bravo"], [], [], []]
 
 
+def test_each_secret_field_is_judged(spark):
+    yes = ["password=<redacted> api_key=abcdef123", "api_key: abcdef123\nsecret: ${VAULT}", 'client_secret="<redacted>", auth_token: "abcdef123"', "passwd=<redacted>tail"]
+    no = ["password=<redacted> secret='${X}'", "password: <REDACTED>; api-key = short", "passwords are long"]
+    assert col(spark, yes + no, X.taints) == [["secret"]] * 4 + [[]] * 3
+
+
 def test_phone_grammar():
     yes = ["+1 415 555 0100", "415-555-0100.", "tel:415.555.0100", "1-415-555-0100", "1 (415) 555-0100", "at 415-555-0100 9am"]
     no = ["ABC-123-456-7890", "123-456-7890-11", "512 256 1024", "4155550100", "2024-01-02T03:04:05+0100", "415-555.0100", "415-555-0100x", "+123", ""]
