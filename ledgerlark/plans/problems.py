@@ -53,7 +53,8 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return deliveries.repeated_deliveries(table(spark, d, "observations"))
+    """Batch by batch in order of arrival, each against the stored index."""
+    return deliveries.repeated_deliveries(table(spark, d, "observations"), "arrival_window")
 
 
 def p4_byte_reissues(spark: SparkSession, d: str) -> DataFrame:
