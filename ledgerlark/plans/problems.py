@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import asof, changefeed, deliveries, intervals, quantiles
-from ledgerlark.session import table
+from ledgerlark.session import cut, table
 
 PCTS = (50, 95, 99)
 SLOW_MS = {50: 1000, 95: 10_000, 99: 60_000}
@@ -89,10 +89,30 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_tombstones_kept(spark: SparkSession, d: str) -> DataFrame:
     """Facts that are deleted, with the sequence that a later change has to exceed."""
     state = changefeed.fold(changefeed.fact_changes(table(spark, d, "company_events"), table(spark, d, "tombstones")))
-    return state.filter(F.col("op") == changefeed.DELETE).select(F.col("key").alias("fact_id"), "seq")
+    return state.filter(F.col("op") == changefeed.DELETE).select(F.col("key").alias("fact_id"), F.col("seq").cast("bigint").alias("seq"))
+
+
+def p6_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of p6_found, from two batches: all withdrawals and the events that arrived in the first half of the time, then
+    the later events (and those without a time) on top of the stored state."""
+    events, gone = table(spark, d, "company_events"), table(spark, d, "tombstones")
+    low, high = events.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    early = F.coalesce(F.col("arrived_at") < F.lit(low + (high - low) / 2), F.lit(False)) if low is not None else F.lit(False)
+    first = cut(changefeed.feed_state(events.filter(early), gone))
+    state = changefeed.feed_state(events.filter(~early), gone.filter("false"), first)
+    return changefeed.facts_after(state).select(F.col("key").alias("fact_id"), F.col("payload").alias("event_id"))
+
+
+def p6_on_base(spark: SparkSession, d: str) -> DataFrame:
+    """The facts of p6_found, with the table as of half of all cursors as base rows and only the changes after it."""
+    changes = changefeed.fact_changes(table(spark, d, "company_events"), table(spark, d, "tombstones"))
+    top = table(spark, d, "company_events").agg(F.max(changefeed.cursor(F.col("store_cursor"))).alias("c")).first()["c"]
+    half = F.lit(int(top or 0) // 2).cast("decimal(38,0)")
+    state = changefeed.fold(changes.filter(F.col("seq") > half), cut(changefeed.fold(changes.filter(F.col("seq") <= half))))
+    return changefeed.standing(state).select(F.col("key").alias("fact_id"), F.col("payload").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_over_all_days, p2_group_sizes, p3_found, p3_coverage, p4_found, p4_byte_reissues, p5_found, p5_all_events, p6_found, p6_tombstones_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_over_all_days, p2_group_sizes, p3_found, p3_coverage, p4_found, p4_byte_reissues, p5_found, p5_all_events, p6_found, p6_tombstones_kept, p6_two_batches, p6_on_base)}
 
 _P2 = """with one as (select id, min(struct_pack(r := recorded_at, a := action, m := duration_ms)) e from usage_events
  where id is not null and duration_ms is not null group by id),
@@ -127,5 +147,7 @@ SQL = {
     "p5_found": _P5 + " select feed_row_id, b.i as revocation_id from m",
     "p5_all_events": _P5 + " select e.feed_row_id, m.b.i as revocation_id from e left join m using (feed_row_id)",
     "p6_found": _P6 + " select fact_id, event_id from w where n = 1 and op = 0",
+    "p6_two_batches": _P6 + " select fact_id, event_id from w where n = 1 and op = 0",
+    "p6_on_base": _P6 + " select fact_id, event_id from w where n = 1 and op = 0",
     "p6_tombstones_kept": _P6 + " select fact_id, c as seq from w where n = 1 and op = 1",
 }
