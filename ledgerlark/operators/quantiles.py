@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.session import partition_bound
+
 EPS = 0.004
-#: Compressions from raw values to a final summary: block, partition, fan-in, group. Each may use an equal part of EPS.
-STEPS = 4
+#: Summaries that one merge takes; a tree of merges is as deep as the number of summaries needs.
 FAN_IN = 32
 BLOCK_ROWS = 400_000
 
@@ -26,10 +27,10 @@ BLOCK_ROWS = 400_000
 class Summary:
     """Rank-interval tuples of n values. ``merge`` and ``compress`` return new summaries."""
 
-    __slots__ = ("value", "rmin", "rmax", "n")
+    __slots__ = ("value", "rmin", "rmax", "n", "level")
 
-    def __init__(self, value: np.ndarray, rmin: np.ndarray, rmax: np.ndarray, n: int):
-        self.value, self.rmin, self.rmax, self.n = value, rmin, rmax, int(n)
+    def __init__(self, value: np.ndarray, rmin: np.ndarray, rmax: np.ndarray, n: int, level: int = 0):
+        self.value, self.rmin, self.rmax, self.n, self.level = value, rmin, rmax, int(n), int(level)
 
     @classmethod
     def of_sorted(cls, values: np.ndarray) -> "Summary":
@@ -44,32 +45,37 @@ class Summary:
         wanted = np.arange(1.0, self.n + step, step)
         at = np.searchsorted(self.rmin, wanted, side="right") - 1
         at = np.unique(np.concatenate([[0], at.clip(0), [len(self.value) - 1]]))
-        return Summary(self.value[at], self.rmin[at], self.rmax[at], self.n) if len(at) < len(self.value) else self
+        return Summary(self.value[at], self.rmin[at], self.rmax[at], self.n, self.level) if len(at) < len(self.value) else self
+
+    def settle(self, eps: float) -> "Summary":
+        """Compresses by the level's part of ``eps``, 1/((l+1)(l+2)), and goes up a level. The parts of all levels add up to
+        less than 1, so ``eps`` holds for a tree of any depth."""
+        out = self.compress(eps / ((self.level + 1) * (self.level + 2)))
+        return Summary(out.value, out.rmin, out.rmax, out.n, self.level + 1)
 
     @staticmethod
     def merge(parts: list["Summary"]) -> "Summary":
-        """A tuple's interval in the union is its own plus, of each other summary, the ranks that the nearest tuples there allow."""
+        """A tuple's interval in the union is its own plus, of each other summary, the ranks that the nearest tuples there allow.
+
+        All tuples are sorted once, ties by summary; running sums of what each tuple adds to its own summary's lower and
+        upper rank give the sums over all summaries at every place.
+        """
         parts = [p for p in parts if p.n]
         if len(parts) == 1:
             return parts[0]
         if not parts:
             return Summary(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64), 0)
-        out_v, out_lo, out_hi = [], [], []
-        for i, p in enumerate(parts):
-            lo, hi = p.rmin.astype(np.int64).copy(), p.rmax.astype(np.int64).copy()
-            for j, q in enumerate(parts):
-                if i == j:
-                    continue
-                # Ties: the tuples of an earlier summary come first.
-                k = np.searchsorted(q.value, p.value, side="right" if j < i else "left")
-                lo += np.where(k > 0, q.rmin[(k - 1).clip(0)], 0)
-                hi += np.where(k < len(q.value), q.rmax[k.clip(max=len(q.value) - 1)] - 1, q.n)
-            out_v.append(p.value)
-            out_lo.append(lo)
-            out_hi.append(hi)
-        v, lo, hi = np.concatenate(out_v), np.concatenate(out_lo), np.concatenate(out_hi)
-        order = np.lexsort((hi, lo, v))
-        return Summary(v[order], np.maximum.accumulate(lo[order]), np.minimum.accumulate(hi[order][::-1])[::-1], sum(p.n for p in parts))
+        value, rmin, rmax = (np.concatenate([getattr(p, k) for p in parts]) for k in ("value", "rmin", "rmax"))
+        n = sum(p.n for p in parts)
+        rises = np.concatenate([np.diff(p.rmin, prepend=0) for p in parts])
+        # Behind a tuple, its summary allows ranks up to the next tuple's, less one, or all of its own.
+        behind = np.concatenate([np.append(p.rmax[1:] - 1, p.n) for p in parts])
+        falls = behind - (rmax - 1)
+        order = np.argsort(value, kind="stable")
+        lo = np.cumsum(rises[order])
+        f = falls[order]
+        hi = rmax[order] + n - (np.cumsum(f[::-1])[::-1] - f) - behind[order]
+        return Summary(value[order], np.maximum.accumulate(lo), np.minimum.accumulate(hi[::-1])[::-1], n, max(p.level for p in parts))
 
     def rank_error(self) -> int:
         """The most ranks by which an answer can miss, at any percentile."""
@@ -85,12 +91,13 @@ class Summary:
         return float(self.value[i]), int(miss[i])
 
     def pack(self) -> bytes:
-        return np.int64(self.n).tobytes() + self.value.astype("<f8").tobytes() + self.rmin.astype("<i8").tobytes() + self.rmax.astype("<i8").tobytes()
+        return np.array([self.n, self.level], "<i8").tobytes() + self.value.astype("<f8").tobytes() + self.rmin.astype("<i8").tobytes() + self.rmax.astype("<i8").tobytes()
 
     @classmethod
     def unpack(cls, b: bytes) -> "Summary":
-        k = (len(b) - 8) // 24
-        return cls(np.frombuffer(b, "<f8", k, 8), np.frombuffer(b, "<i8", k, 8 + 8 * k), np.frombuffer(b, "<i8", k, 8 + 16 * k), int(np.frombuffer(b, "<i8", 1)[0]))
+        k = (len(b) - 16) // 24
+        n, level = np.frombuffer(b, "<i8", 2).tolist()
+        return cls(np.frombuffer(b, "<f8", k, 16), np.frombuffer(b, "<i8", k, 16 + 8 * k), np.frombuffer(b, "<i8", k, 16 + 16 * k), n, level)
 
 
 def _merge_up(levels: list[list[Summary]], new: Summary, eps: float) -> None:
@@ -100,15 +107,12 @@ def _merge_up(levels: list[list[Summary]], new: Summary, eps: float) -> None:
     while len(levels[i]) >= FAN_IN:
         if i + 1 == len(levels):
             levels.append([])
-        levels[i + 1].append(Summary.merge(levels[i]))
+        levels[i + 1].append(Summary.merge(levels[i]).settle(eps))
         levels[i] = []
         i += 1
-        levels[i][-1] = levels[i][-1].compress(eps)
 
 
 def _partition_summaries(keys: list[str], value: str, eps: float):
-    schema_out = pa.schema([(f"k{i}", pa.string()) for i in range(len(keys))] + [("part", pa.int32()), ("summary", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -135,7 +139,7 @@ def _partition_summaries(keys: list[str], value: str, eps: float):
                 for n in reversed(names):
                     c, r = divmod(c, len(n))
                     key.append(n[r])
-                _merge_up(state.setdefault(tuple(reversed(key)), [[]]), Summary.of_sorted(v[a:b]).compress(eps), eps)
+                _merge_up(state.setdefault(tuple(reversed(key)), [[]]), Summary.of_sorted(v[a:b]).settle(eps), eps)
 
         for batch in batches:
             if batch.num_rows:
@@ -147,22 +151,49 @@ def _partition_summaries(keys: list[str], value: str, eps: float):
         if rows:
             block()
         if state:
-            items = [(k, Summary.merge([s for level in lv for s in level]).compress(eps).pack()) for k, lv in state.items()]
-            cols = [pa.array([k[i] for k, _ in items], pa.string()) for i in range(len(keys))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(items), pa.int32()), pa.array([b for _, b in items], pa.binary())], schema=schema_out)
+            yield _rows([(k, Summary.merge([s for level in lv for s in level]).settle(eps)) for k, lv in state.items()], len(keys), part)
+
+    return run
+
+
+def _rows(items: list[tuple[tuple, Summary]], n_keys: int, part: int) -> pa.RecordBatch:
+    cols = [pa.array([k[i] for k, _ in items], pa.string()) for i in range(n_keys)]
+    names = [*(f"k{i}" for i in range(n_keys)), "part", "summary"]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([part] * len(items), pa.int32()), pa.array([s.pack() for _, s in items], pa.binary())], names=names)
+
+
+def _local_merge(n_keys: int, eps: float):
+    """What summaries of a group lie in one task, merged there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        state: dict[tuple, list[list[Summary]]] = {}
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns]
+            for *k, packed in zip(*cols):
+                _merge_up(state.setdefault(tuple(k), [[]]), Summary.unpack(packed), eps)
+        if state:
+            yield _rows([(k, Summary.merge([s for level in lv for s in level]).settle(eps)) for k, lv in state.items()], n_keys, TaskContext.get().partitionId())
 
     return run
 
 
-def _merge_groups(df: DataFrame, by: list[str], keep: list[str], eps: float) -> DataFrame:
-    names = [*keep, "summary"]
+def _merge_tree(parts: DataFrame, ks: list[str], eps: float, tasks: int) -> DataFrame:
+    """One summary per group of ``ks`` from summaries of at most about ``tasks`` numbered parts: rounds of FAN_IN parts."""
+    names = [*ks, "part", "summary"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Summary.merge([Summary.unpack(b) for b in pdf["summary"]]).compress(eps)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keep), s.pack()]], columns=names)
+        s = Summary.merge([Summary.unpack(b) for b in pdf["summary"]]).settle(eps)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in ks), 0, s.pack()]], columns=names)
 
-    schema = ", ".join(f"{k} string" for k in keep) + ", summary binary"
-    return df.groupBy(*by).applyInPandas(run, schema)
+    schema = "".join(f"{k} string, " for k in ks) + "part int, summary binary"
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+        numbered = lambda pdf: run(pdf).assign(part=int(pdf["part"].iloc[0]))
+        parts = parts.groupBy(*ks, "part").applyInPandas(numbered, schema)
+    return parts.groupBy(*ks).applyInPandas(run, schema).drop("part")
 
 
 def summarize(df: DataFrame, keys: list[str], value: str, eps: float = EPS) -> DataFrame:
@@ -170,21 +201,24 @@ def summarize(df: DataFrame, keys: list[str], value: str, eps: float = EPS) -> D
 
     Rank error of any percentile is at most eps*n. Null and NaN values are left out; a group of nulls only has no row; null
     keys form a group of their own; ties share their interval; an empty table gives no rows. A group of any share of the
-    rows is summarised where its rows lie, so no task holds a group: at most about 1/eps tuples per group leave a task.
-    Columns of other names are not touched, so clashing names cannot matter.
+    rows is summarised where its rows lie, and merged FAN_IN summaries at a time, so no task holds a group: a few thousand
+    tuples per group leave a task. Columns of other names are not touched, so clashing names cannot matter.
     """
-    per = eps / STEPS
     ks = [f"k{i}" for i in range(len(keys))]
     slim = df.select(*(F.col(k).cast("string").alias(a) for k, a in zip(keys, ks)), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    parts = slim.mapInArrow(_partition_summaries(keys, value, per), ", ".join(f"{k} string" for k in ks) + ", part int, summary binary")
-    mid = _merge_groups(parts.withColumn("fan", F.floor(F.col("part") / FAN_IN)), [*ks, "fan"], ks, per)
-    whole = _merge_groups(mid, ks, ks, per)
+    parts = slim.mapInArrow(_partition_summaries(keys, value, eps), "".join(f"{k} string, " for k in ks) + "part int, summary binary")
+    whole = _merge_tree(parts, ks, eps, partition_bound(slim))
     return whole.select(*(F.col(a).alias(k) for k, a in zip(keys, ks)), "summary")
 
 
-def merge_summaries(summaries: DataFrame, keys: list[str], eps: float = EPS / STEPS) -> DataFrame:
-    """Combines stored summaries of finer groups into one per ``keys``; the error grows by eps at most."""
-    return _merge_groups(summaries, keys, keys, eps)
+def merge_summaries(summaries: DataFrame, keys: list[str], eps: float = EPS) -> DataFrame:
+    """Combines stored summaries of finer groups into one per ``keys``. The levels a summary has gone through are stored in it,
+    so the error of the whole stays below ``eps``, if it's the one that the parts were made with."""
+    ks = [f"k{i}" for i in range(len(keys))]
+    slim = summaries.select(*(F.col(k).cast("string").alias(a) for k, a in zip(keys, ks)), "summary")
+    parts = slim.mapInArrow(_local_merge(len(ks), eps), "".join(f"{k} string, " for k in ks) + "part int, summary binary")
+    whole = _merge_tree(parts, ks, eps, partition_bound(slim))
+    return whole.select(*(F.col(a).alias(k) for k, a in zip(keys, ks)), "summary")
 
 
 def percentiles(summaries: DataFrame, pcts: tuple[int, ...] = (50, 95, 99)) -> DataFrame:

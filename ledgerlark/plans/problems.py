@@ -40,6 +40,28 @@ def p2_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("action", "recorded_day").agg(F.max("n").alias("n"), F.max((F.col("rank_error") > quantiles.EPS * F.col("n") + 1).cast("int")).alias("beyond_bound"))
 
 
+def _within(values: DataFrame, q: DataFrame, by: list[str]) -> DataFrame:
+    """Whether each percentile lies within its own rank_error of the asked rank, and that within EPS, by exact counts. q has one
+    row per group and pct."""
+    joined = values.join(q, by)
+    counts = joined.groupBy(*by, "pct").agg(F.first("n").alias("n"), F.first("rank_error").alias("e"), F.count("*").alias("rows"), F.count_if(F.col("duration_ms") < F.col("value")).alias("below"), F.count_if(F.col("duration_ms") <= F.col("value")).alias("upto"))
+    rank = F.greatest(F.ceil(F.col("pct") * F.col("n") / 100), F.lit(1))
+    ok = (F.col("rows") == F.col("n")) & (F.col("below") + 1 - F.col("e") <= rank) & (rank <= F.col("upto") + F.col("e")) & (F.col("e") <= quantiles.EPS * F.col("n") + 1)
+    return counts.select(*by, "pct", "n", ok.alias("within"))
+
+
+def p2_days_checked(spark: SparkSession, d: str) -> DataFrame:
+    """p2_percentiles against exact ranks."""
+    days = quantiles.usage_days(table(spark, d, "usage_events")).filter("action is not null and recorded_day is not null")
+    return _within(days, p2_percentiles(spark, d), ["action", "recorded_day"])
+
+
+def p2_all_days_checked(spark: SparkSession, d: str) -> DataFrame:
+    """p2_over_all_days against exact ranks."""
+    days = quantiles.usage_days(table(spark, d, "usage_events")).filter("action is not null")
+    return _within(days, p2_over_all_days(spark, d), ["action"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(table(spark, d, "source_records"), "logical_key", "effective_from", "effective_until")
 
@@ -112,7 +134,7 @@ def p6_on_base(spark: SparkSession, d: str) -> DataFrame:
     return changefeed.standing(state).select(F.col("key").alias("fact_id"), F.col("payload").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_over_all_days, p2_group_sizes, p3_found, p3_coverage, p4_found, p4_byte_reissues, p5_found, p5_all_events, p6_found, p6_tombstones_kept, p6_two_batches, p6_on_base)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_over_all_days, p2_group_sizes, p2_days_checked, p2_all_days_checked, p3_found, p3_coverage, p4_found, p4_byte_reissues, p5_found, p5_all_events, p6_found, p6_tombstones_kept, p6_two_batches, p6_on_base)}
 
 _P2 = """with one as (select id, min(struct_pack(r := recorded_at, a := action, m := duration_ms)) e from usage_events
  where id is not null and duration_ms is not null group by id),
@@ -137,6 +159,8 @@ SQL = {
     "p2_found": _P2 + """, r as (select *, row_number() over (partition by action, recorded_day order by ms) k, count(*) over (partition by action, recorded_day) n from u)
  select action, recorded_day, cast(p.pct as integer) as pct from r, (values (50, 1000), (95, 10000), (99, 60000)) p(pct, bound) where n >= 30 and k = (p.pct * n + 99) // 100 and ms > bound""",
     "p2_group_sizes": _P2 + " select action, recorded_day, count(*) as n, cast(0 as integer) as beyond_bound from u group by 1, 2",
+    "p2_days_checked": _P2 + " select action, recorded_day, cast(pct as integer) as pct, count(*) as n, true as within from u, (values (50), (95), (99)) p(pct) where action is not null and recorded_day is not null group by 1, 2, 3",
+    "p2_all_days_checked": _P2 + " select action, cast(pct as integer) as pct, count(*) as n, true as within from u, (values (50), (95), (99)) p(pct) where action is not null group by 1, 2",
     "p3_found": _P3 + " select * from r",
     "p3_coverage": _P3 + """ select logical_key, count(*) filter (row_kind = 'period') as periods, count(*) filter (row_kind = 'gap') as gaps,
  cast(coalesce(sum(until_ms - from_ms) filter (row_kind = 'period' and until_ms >= 0), 0) as bigint) as covered_ms, cast(coalesce(sum(until_ms - from_ms) filter (row_kind = 'gap'), 0) as bigint) as gap_ms from r group by 1""",

@@ -47,3 +47,32 @@ def test_days_merge_to_the_whole(spark):
     for r in whole:
         at = np.searchsorted(v, r["value"])
         assert abs(at + 1 - -(-r["pct"] * 6000 // 100)) <= r["rank_error"] <= 0.005 * 6000 + 1
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(-9, 9), min_size=1, max_size=20), min_size=2, max_size=5))
+def test_merge_of_exact_summaries_is_the_sorted_union(parts):
+    s = Q.Summary.merge([Q.Summary.of_sorted(np.sort(np.array(p, float))) for p in parts])
+    whole = np.sort(np.concatenate([np.array(p, float) for p in parts]))
+    assert (s.value == whole).all() and (s.rmin == np.arange(1, len(whole) + 1)).all() and (s.rmax == s.rmin).all()
+
+
+def test_a_deep_tree_keeps_the_bound():
+    rng, eps, levels, seen = np.random.default_rng(4), 0.02, [[]], []
+    for _ in range(Q.FAN_IN * Q.FAN_IN + 40):
+        v = np.sort(rng.lognormal(3, 2, 900))
+        seen.append(v)
+        Q._merge_up(levels, Q.Summary.of_sorted(v).settle(eps), eps)
+    s = Q.Summary.merge([x for lv in levels for x in lv]).settle(eps)
+    whole = np.sort(np.concatenate(seen))
+    assert s.level >= 3 and s.n == len(whole) and s.rank_error() <= eps * s.n
+    for pct in (1, 50, 95, 99):
+        v, miss = s.at(pct)
+        assert abs(np.searchsorted(whole, v) + 1 - -(-pct * s.n // 100)) <= miss <= eps * s.n
+
+
+def test_many_parts_merge_in_rounds(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(str(i % 3), float(x)) for i, x in enumerate(rng.normal(size=9000))], "k string, v double").repartition(70)
+    out = {(r["k"], r["pct"]): r for r in Q.percentiles(Q.summarize(df, ["k"], "v")).collect()}
+    assert len(out) == 9 and all(r["n"] == 3000 and r["rank_error"] <= Q.EPS * 3000 + 1 for r in out.values())
