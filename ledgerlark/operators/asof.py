@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A history up to this many rows is broadcast; it is counted first. Larger ones are matched in (entity, time bucket) groups.
-BROADCAST_ROWS = 100_000
+#: A history is broadcast only if it was counted to have at most this many rows and bytes of keys, and at most STEPS changes of
+#: any one entity, so that no event meets more than STEPS rows. All others are matched in (entity, time bucket) groups.
+BROADCAST_ROWS, BROADCAST_BYTES, STEPS = 100_000, 16 << 20, 64
 BUCKET_SECONDS = 86_400
 
 
@@ -21,11 +22,11 @@ def last_known(events: DataFrame, history: DataFrame, out: str, bucket_seconds:
     with known_at <= at, or null.
 
     Rows of history with equal (entity, known_at) must have been reduced to one (``step_history`` does). Events with null
-    entity or time keep a null. A small history is broadcast as spans [known_at, next) in a hash join. A large one is
-    matched by sorting; events of one entity are split by time bucket, and the version that holds at a bucket's start is
-    carried into it, so a hot entity is spread over its buckets.
+    entity or time keep a null. Histories are matched by sorting: events of one entity are split by time bucket, and the
+    version that holds at a bucket's start is carried into it, so a hot entity is spread over its buckets. A history of few
+    and short steps (BROADCAST_ROWS, BROADCAST_BYTES, STEPS, counted first) is broadcast as spans [known_at, next) instead.
     """
-    if history.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if broadcast_rows and _few(history, broadcast_rows):
         spans = history.select(F.col("entity").alias("_e"), F.col("known_at").alias("_k"), F.col("value").alias(out), F.lead("known_at").over(W.partitionBy("entity").orderBy("known_at")).alias("_n"))
         on = (F.col("entity") == F.col("_e")) & (F.col("_k") <= F.col("at")) & (F.col("_n").isNull() | (F.col("at") < F.col("_n")))
         return events.join(F.broadcast(spans), on, "left").drop("_e", "_k", "_n")
@@ -44,6 +45,11 @@ def last_known(events: DataFrame, history: DataFrame, out: str, bucket_seconds:
     return both.withColumn("_w", F.last("_v", True).over(w)).filter("_event = 1").select(*cols, F.when(F.col("entity").isNotNull() & F.col("at").isNotNull(), F.col("_w.value")).alias(out))
 
 
+def _few(history: DataFrame, rows: int) -> bool:
+    size = history.groupBy("entity").agg(F.count("*").alias("n"), F.sum(F.octet_length("entity")).alias("b")).agg(F.sum("n"), F.sum("b"), F.max("n")).first()
+    return (size[0] or 0) <= rows and (size[1] or 0) <= BROADCAST_BYTES and (size[2] or 0) <= STEPS
+
+
 def step_history(changes: DataFrame, known_at: Column, rank: Column) -> DataFrame:
     """History rows (entity, known_at, value): value is the greatest ``rank`` struct among all changes known by then.
     Changes with null entity or known time are ignored; equal times become one step."""
