@@ -222,7 +222,7 @@ QUERIES = {
     )
 }
 
-from ledgerlark.plans.text import _TAINTS  # noqa: E402
+from ledgerlark.plans.text import _SCAN  # noqa: E402
 
 _E = "with e as (select event_id, fact_id, min(try_cast(trim(store_cursor) as bigint)) as c from company_events where message_type = 'fact-event' and event_id is not null and fact_id is not null group by all)"
 _O = "order by observed_at {d} nulls {n}, delivered_at {d} nulls {n}, delivery_id {d}"
@@ -262,7 +262,7 @@ SQL = {
     "receipts_per_adapter": "select source_kind, lifecycle, count(*) as receipts, count(distinct batch_id) as batches from observations group by 1, 2",
     "transcript_days": "with o as (select batch_id, delivery_id, case when coalesce(disposition <> 'draft', true) then strftime(observed_at at time zone 'UTC', '%Y-%m-%d') end as day from observations), c as (select batch_id, coalesce(last_value(day ignore nulls) over (partition by batch_id order by delivery_id rows between unbounded preceding and current row), first_value(day ignore nulls) over (partition by batch_id order by delivery_id rows between current row and unbounded following)) as day from o) select batch_id, day, count(*) as lines from c group by 1, 2",
     "latest_receipts": "with r as (select native_id, repository_id, content_digest, disposition as last from observations qualify row_number() over (partition by native_id, repository_id, content_digest order by delivery_id desc) = 1) select last, coalesce(last in ('accepted', 'rejected'), false) as settled, count(*) as candidates from r group by 1, 2",
-    "bulk_admission": f"with s as (select *, statement as s from source_records where logical_key is not null) select provenance, count(*) as admitted, count(distinct logical_key) as keys from s where ingested_at >= timestamptz '2024-07-01 00:00:00+00' and length(trim(s)) > 0 and {_TAINTS} = '' and not exists (select 1 from source_records o where o.logical_key = s.logical_key and o.ingested_at < timestamptz '2024-07-01 00:00:00+00') group by 1",
+    "bulk_admission": _SCAN + " select provenance, count(*) as admitted, count(distinct logical_key) as keys from source_records s join scan on s.statement = scan.s where logical_key is not null and ingested_at >= timestamptz '2024-07-01 00:00:00+00' and length(trim(statement)) > 0 and taints = '' and not exists (select 1 from source_records o where o.logical_key = s.logical_key and o.ingested_at < timestamptz '2024-07-01 00:00:00+00') group by 1",
     "same_statement_status": "with g as (select regexp_replace(lower(statement), '[^\\p{L}\\p{N}]', '', 'g') as id, count(distinct origin) as origins, count(*) as supports from source_records where statement is not null group by 1) select origins, count(*) as statements, cast(sum(supports) as bigint) as supports from g group by 1",
     "touched_cohorts": "select arrival_window, count(*) as rows from observations where native_id in (select native_id from observations where arrival_window = 4 and native_id is not null) group by 1",
     "raised_questions": "select record_id, 'question_' || substr(sha256(logical_key || chr(0) || coalesce(native_id || chr(0), '') || coalesce(statement, '')), 1, 40) as question_id, case when owner_id is null then 'awaiting_authority' else 'open' end as status, strftime((asserted_at + interval 24 hour) at time zone 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ') as due_at from source_records where atom_kind = 'question' and logical_key is not null and asserted_at is not null",

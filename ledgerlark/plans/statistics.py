@@ -83,24 +83,31 @@ def monte_carlo_power(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    """Interval of the mean severity per gold label; each label is one task. Only the count of each severity leaves the data,
-    at most ten numbers a label."""
-    import pandas as pd
+    """Interval of the mean severity per gold label, each kind of source resampled at its own size."""
+    got = S.bootstrap(table(spark, d, "maintenance_workload"), "distortion_severity_rank", ["gold_label"], "source_kind", resamples=2000)
+    return got.select("gold_label", "items", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
-    g = table(spark, d, "maintenance_workload").filter("distortion_severity_rank is not null").groupBy("gold_label", "distortion_severity_rank").agg(F.count("*").alias("n"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def bootstrap_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items behind each interval, and whether it holds the plain mean, as nearly every such interval does."""
+    plain = table(spark, d, "maintenance_workload").filter("distortion_severity_rank is not null").groupBy("gold_label").agg(F.avg("distortion_severity_rank").alias("mean"))
+    b = bootstrap_interval(spark, d).alias("b")
+    return b.join(plain.alias("p"), F.col("b.gold_label").eqNullSafe(F.col("p.gold_label"))).select("b.gold_label", "items", F.col("mean").between(F.col("low"), F.col("high")).alias("holds_mean"))
 
-        pdf = pdf.sort_values("distortion_severity_rank")
-        rng, n, v = np.random.default_rng(11), int(pdf["n"].sum()), pdf["distortion_severity_rank"].to_numpy()
-        means = np.sort(rng.multinomial(n, pdf["n"].to_numpy() / n, 2000) @ v / n)  # the same law as drawing n with replacement
-        return pd.DataFrame([[pdf["gold_label"].iloc[0], n, float(means[49]), float(means[1949])]], columns=["gold_label", "items", "low", "high"])
 
-    return g.groupBy("gold_label").applyInPandas(run, "gold_label string, items bigint, low double, high double")
+def binomial_tails(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of source with few trials: the chance of as many correct admissions or more, if a third were."""
+    g = table(spark, d, "maintenance_workload").filter("gold_correct_admission is not null and distortion_severity_rank is not null").groupBy("source_kind", "distortion_severity_rank").agg(F.count_if("gold_correct_admission").alias("s"), F.count("*").alias("n"))
+    return g.select("source_kind", "distortion_severity_rank", "s", "n", F.round(S.binomial_tail(F.col("s"), F.col("n"), F.lit(1 / 3)), 6).alias("tail"))
 
 
-QUERIES = {f.__name__: f for f in (confusion, macro_f1, cohen_kappa, weighted_kappa, wilson_bounds, balanced_accuracy, equivalence, association_strength, rational_mean_bp, rater_agreement, monte_carlo_power, bootstrap_interval)}
+def trial_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Per gold label: items needed to see half a rank of severity, those of a third as a stratum, and reserved calls."""
+    g = table(spark, d, "maintenance_workload").groupBy("gold_label").agg(F.round(F.stddev_samp("distortion_severity_rank"), 6).alias("sd"), F.count("*").alias("n"))
+    return g.select("gold_label", S.sample_size(F.col("sd"), F.lit(0.5)).alias("needed"), S.effective_size(F.col("n"), F.lit(0.25)).alias("effective"), S.reserved_calls(F.col("n")).cast("bigint").alias("calls"))
+
+
+QUERIES = {f.__name__: f for f in (confusion, macro_f1, cohen_kappa, weighted_kappa, wilson_bounds, balanced_accuracy, equivalence, association_strength, rational_mean_bp, rater_agreement, monte_carlo_power, bootstrap_interval, bootstrap_items, binomial_tails, trial_sizes)}
 
 _P = f"with p as (select *, {_predicted()} as predicted from maintenance_workload)"
 _CONF = _P + """, l as (select distinct gold_label as label from p where gold_label is not null union select distinct predicted from p),
@@ -122,5 +129,10 @@ SQL = {
  g as (select *, coalesce(sum(w) over (partition by logical_key, origin order by record_id rows between unbounded preceding and 1 preceding), 0) as before from f),
  o as (select logical_key, origin, sum(case when before = 0 then w else w // 2 end) as s from g group by 1, 2) select logical_key, cast(sum(s) * greatest(count(*) filter (s > 0), 1) as bigint) as strength from o group by 1""",
     "rational_mean_bp": "with m as (select atom_kind, count(*) as n, cast(round_even(avg(cast(confidence as double)), 0) as bigint) as mean from source_records where confidence is not null group by 1) select atom_kind, n, mean, cast(case when n < 2 then 0 else floor(sqrt(cast((select sum((confidence - mean) * (confidence - mean)) from source_records s where s.atom_kind is not distinct from m.atom_kind and confidence is not null) // (n - 1) as double))) end as bigint) as sd from m",
+    "bootstrap_items": "select gold_label, count(*) as items, true as holds_mean from maintenance_workload where distortion_severity_rank is not null group by 1",
+    "binomial_tails": """with g as (select source_kind, distortion_severity_rank, count(*) filter (gold_correct_admission) as s, count(*) as n from maintenance_workload where gold_correct_admission is not null and distortion_severity_rank is not null group by 1, 2)
+ select source_kind, distortion_severity_rank, s, n, round(least(1.0, list_sum(list_transform(range(s, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(1.0 / 3) + (n - k) * ln(2.0 / 3))))), 6) as tail from g""",
+    "trial_sizes": """with g as (select gold_label, round(stddev_samp(distortion_severity_rank), 6) as sd, count(*) as n from maintenance_workload group by 1)
+ select gold_label, case when sd > 0 then cast(ceil(power((1.96 + 0.8416) * sd / 0.5, 2)) as bigint) end as needed, n // 4 as effective, 396 + 33 * n + 11 * ((3 * n + 9) // 10) as calls from g""",
     "rater_agreement": "with l as (select distinct doc_id, lower(trim(subject)) as subject, rater from subject_labels), n as (select doc_id, count(distinct rater) as raters, count(distinct subject) as subjects from l group by 1) select raters, count(*) as documents, count(*) filter (subjects = 1) as agreed from n group by 1",
 }
