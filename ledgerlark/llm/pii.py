@@ -18,7 +18,7 @@ MODEL_PATH = Path(__file__).with_name("pii_model.npz")
 #: Segments whose result a task remembers, and texts that it decodes at once.
 REMEMBER, AT_ONCE = 150_000, 4_000
 
-_EMAIL = re.compile(r"[\w.+%-]+(?:\s*[@＠]\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)[\w-]+(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)[\w-]+)+", re.I)
+_EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]++(?:\s*[@＠]\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)[\w-]+(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)[\w-]+)+", re.I)
 _EDGE = " \t\r\n   \"'“”‘’„«»<>{}|;,:!?"
 
 
@@ -37,7 +37,11 @@ def exact(text: str, kind: int, a: int, b: int) -> tuple[int, int] | None:
     s = text[a:b]
     digits = sum(c.isdigit() for c in s)
     if kind == 0:
-        for m in _EMAIL.finditer(text, max(0, a - 80), min(len(text), b + 80)):
+        while a and not text[a - 1].isspace():  # the whole mailbox
+            a -= 1
+        for m in _EMAIL.finditer(text, a):
+            if m.start() >= b:
+                break
             if m.start() < b and a < m.end():
                 start = m.start() + (7 if text[m.start() : m.start() + 7].lower() == "mailto:" else 0)
                 return start, m.end()

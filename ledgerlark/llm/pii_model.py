@@ -1,6 +1,6 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy.
 
-A text is cut into segments at safe places (sentence ends, lines that end a sentence); a segment longer than WINDOW is covered
+A text is cut into segments at safe places (sentence ends, blank lines, lines that begin with a label); a segment longer than WINDOW is covered
 by overlapping windows. Each window gives label scores for its characters; where windows overlap, the scores are blended
 with weights that fall towards a window's edge, and one Viterbi search over the whole segment reconciles them. Digits and
 hexadecimal runs are read as classes, so segments that differ only there have the same scores and are computed once.
@@ -73,27 +73,32 @@ def encode(text: str) -> np.ndarray:
     return ids
 
 
-_END = re.compile(r"[.!?\"']\s+")
-_LINE = re.compile("\u2003+|(?<=\\S) – |\n+(?=Sort of atom: )|(?<=[.!?:;\"])\n+")
+_END = re.compile(r"[.!?\"'](?:\s+[–—-])?\s+")
+#: Blank lines, and lines that begin with a label, are cut in any case.
+_LINE = re.compile(r"\n\s*\n\s*|\n(?=[A-Z][A-Za-z]*(?: [a-z]+){0,3}: )")
+# Words of four letters and more that are shortened in addresses.
+_SHORTENED = {"blvd", "pkwy", "terr", "bldg", "avda", "hlgs", "gdns", "strs", "plza"}
 
 
 def _sentence_end(text: str, m: re.Match) -> bool:
     """Whether white space after a mark ends a sentence: after four letters, two digits or a closed bracket or quote, and
-    before a letter, quote or one of @ | {. So abbreviations and initials don't."""
+    before a letter, quote or one of @ | {. So abbreviations, initials and streets written short don't."""
     s, e = m.start(), m.end()
     if e >= len(text) or not (text[e].isalpha() or text[e] in '"@|{'):
         return False
     if text[s] in "\"'":
         return s > 0 and text[s - 1] in ".!?"
     before = text[max(0, s - 4) : s]
-    return (len(before) == 4 and before.isalpha()) or (len(before) >= 2 and (before[-2:].isdigit() or (before[-1] in "\"')>" and before[-2].isalnum())))
+    if len(before) == 4 and before.isalpha():
+        return text[s] != "." or before.lower() not in _SHORTENED or (s > 4 and text[s - 5].isalpha())
+    return len(before) >= 2 and (before[-2:].isdigit() or (before[-1] in "\"')>" and before[-2].isalnum()))
 
 
 def segments(text: str) -> list[tuple[int, int]]:
     """Where the text is cut: spans [start, end). A personal detail doesn't cross a cut: abbreviations, initials and lines
     that run on stay together."""
     cuts = [(m.start() + 1, m.end()) for m in _END.finditer(text) if _sentence_end(text, m)]
-    if "\n" in text or "\u2003" in text or " – " in text:
+    if "\n" in text:
         cuts = sorted(cuts + [m.span() for m in _LINE.finditer(text)], key=lambda c: (c[0], -c[1]))
     out, at = [], 0
     for a, b in cuts:
