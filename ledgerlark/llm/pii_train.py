@@ -156,7 +156,11 @@ The [visit|meeting|delivery|inspection] [by {N} |]at {A} [on {date}|is {w}|at {h
 [Escalate|Escalations|Complaints|Questions] [for {c} |]go to {N} ({E}) {w}.
 [Bei Fragen|Rückfragen|Rückfragen bitte] [an|bei] {N}, [Tel.|Telefon] {P}{x}.
 {W} {N} {W}
-{W} {P}{x} {W}
+{W} {Q}{x} {W}
+[number|phone|call|ring|tel|mobile|line|dial|fax|text] {P}{x} {W}
+{W} [number|phone|at|call|ring|tel|mobile|line] {P}{x}
+[Taxpayer|Tax|Citizen|Passport|Social security|Insurance|Identity|Personal] [no|no.|number|ID|id|#] {I} {W}
+[Steuernummer|Ausweis|Pasaporte|DNI|NIE|SSN] [Nr.|n.º|no.|] {I} {W}
 {W} {E} {W}
 {W} {A}, {W}
 {W:de} {N} {W:de}
@@ -223,6 +227,13 @@ The {ST} [service|project|release|module|team|queue] {W}
 {W} {n3} {n3} {n4} {U}
 {W} {n3} {n4} {U}, {n2} {n3} {n3} {U}
 The {B} [of {PL} |]{W}
+{Y} {L} [is|was|are|at|of|to] {M}, [then|and|next|or] {W}
+{Y} {L} [is|was|are|at|of|to|stays] {M}, [then|and|next|or] {n3} {n3} {n4} {L} {W}
+{Y} {M} [failed|passed|is|was|ran|stopped|moved] {W}
+[{D}|{Y}|{c}] {M} {L} {W}
+{W} {M} {L}.
+{L} {M}: {W}
+[{Y}|{W}] {n3} {n3} {n4} {L}[s|] {W}
 {W} the {B} {W}
 {B}: {W}
 "{c} {W}" [and|or] "{L} {L}"
@@ -361,6 +372,18 @@ class Maker:
         body = r.choice([lambda: f"0{self.groups([2, 2, 2, 2], j)[:0]}{d(1)}{j}{self.groups([2, 2, 2, 2], j)}", lambda: f"0{d(2)}{r.choice(['/', '-', ' '])}{d(r.randint(4, 5))}{r.choice([' ', '-', ''])}{d(3)}", lambda: f"0{d(4)} {d(6)}", lambda: f"0{d(10)}", lambda: f"0{d(2)} {d(4)} {d(4)}", lambda: f"{r.choice('6789')}{d(2)} {self.groups([2, 2, 2], ' ')}", lambda: f"{r.choice('6789')}{d(2)} {d(3)} {d(3)}", lambda: f"0{d(3)} {d(3)} {d(4)}", lambda: f"(0{d(r.randint(2, 4))}) {d(r.randint(5, 7))}"])
         return body()
 
+    def sure_phone(self) -> str:
+        """One that its form alone gives away."""
+        while (p := self.phone())[0] not in "+(0":
+            pass
+        return p
+
+    def number(self) -> str:
+        """Groups of digits as budgets, dates, builds, ratios and sizes have them."""
+        r = self.r
+        sizes = r.choice([[2, 2, 2], [2, 2, 2], [4, 3, 4], [4, 2, 4], [3, 2, 2], [2, 2, 4], [3, 3, 4], [3, 3, 3], [1, 3, 3], [3, 4], [2, 3], [3, 3], [4, 4], [4, 4, 4], [1, 2, 1], [10], [8], [6], [5, 5]])
+        return self.groups(sizes, r.choice("//--..  :x,"))
+
     def ident(self) -> str:
         d, r = self.d, self.r
         u = lambda n=1: "".join(r.choice("ABCDEFGHJKLMNPQRSTVWXYZ") for _ in range(n))
@@ -435,7 +458,7 @@ class Maker:
 
     def slot(self, k: str) -> tuple[str, int]:
         r = self.r
-        details = {"N": (self.name, 4), "S": (self.titled, 4), "A": (self.address, 3), "P": (self.phone, 1), "E": (self.email, 0), "I": (self.ident, 2)}
+        details = {"Q": (self.sure_phone, 1), "N": (self.name, 4), "S": (self.titled, 4), "A": (self.address, 3), "P": (self.phone, 1), "E": (self.email, 0), "I": (self.ident, 2)}
         if k in details:
             make, kind = details[k]
             return make(), kind
@@ -449,7 +472,7 @@ class Maker:
             "x": self.ext, "c": self.comp, "w": lambda: r.choice(["at night", "in spring", "by default", "on Mondays", "after lunch", "every week", "during tests", "at startup", "before noon", "when idle", "this year", "once a day", "after the merge", "for now"]), "G": self.given,
             "date": lambda: r.choice([f"{r.randint(1990, 2030)}-{self.d(2)}-{self.d(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}"]), "year": lambda: str(r.randint(1950, 2035)), "hm": lambda: f"{self.d(2)}:{self.d(2)}",
             "hex": lambda: self.hexes(r.choice([8, 12, 12, 16, 20, 40])), "T": lambda: f"{r.choice(THING) if r.random() < 0.7 else self.word().capitalize()} {self.pick(THING2)}", "ST": lambda: f"{self.pick(STREET_EN) if r.random() < 0.6 else self.word().capitalize()} {r.choice(WAY)}".replace("Dr. ", ""), "word": self.word, "U": lambda: r.choice(UNIT), "D": lambda: r.choice(DEVICE),
-            "Nick": lambda: (r.choice(TECH) if r.random() < 0.6 else r.choice("byte bug token shard fix lock crash debug merge patch loop null retry batch cursor timeout cloud pixel".split())).capitalize(), "PL": lambda: self.pick(PLACE), "R": lambda: self.pick(ROLE), "L": lambda: r.choice(vocabulary("en")), "Y": lambda: r.choice(vocabulary("en")).capitalize(), "B": lambda: f"{r.choice(BODY)} {r.choice(BODY2)}",
+            "Nick": lambda: (r.choice(TECH) if r.random() < 0.6 else r.choice("byte bug token shard fix lock crash debug merge patch loop null retry batch cursor timeout cloud pixel".split())).capitalize(), "PL": lambda: self.pick(PLACE), "R": lambda: self.pick(ROLE), "M": self.number, "L": lambda: r.choice(vocabulary("en")), "Y": lambda: r.choice(vocabulary("en")).capitalize(), "B": lambda: f"{r.choice(BODY)} {r.choice(BODY2)}",
             "ORG": lambda: f"{self.invented() if r.random() < 0.5 else r.choice(FAMILY)} {r.choice(ORG[:3] + ORG[4:9])}" if r.random() < 0.6 else f"{r.choice(FAMILY)} & {r.choice(FAMILY + ['Sons', 'Partners'])}" if r.random() < 0.5 else f"{self.pick(PLACE)} {r.choice(ORG[-4:])}",
         }[k](), -1
 
