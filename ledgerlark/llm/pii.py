@@ -19,6 +19,7 @@ MODEL_PATH = Path(__file__).with_name("pii_model.npz")
 REMEMBER, AT_ONCE = 150_000, 4_000
 
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]++(?:\s*[@＠]\s*|\s*[\[(]\s*at\s*[\])]\s*|\s+at\s+)[\w-]+(?:(?:\.|\s*[\[(]\s*dot\s*[\])]\s*|\s+dot\s+)[\w-]+)+", re.I)
+_TITLE = re.compile(r"\b(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Professor|Doctor|Sir|Lady|Lord|Madam|Dame|Frau|Herrn?|Fräulein|Señor(?:a|ita)?|Sra?|Srta|Don|Doña|Doctora?|Profesora?|M|Mme|Monsieur|Madame)\.?\s+$", re.I)
 _EDGE = " \t\r\n   \"'“”‘’„«»<>{}|;,:!?"
 
 
@@ -56,6 +57,9 @@ def exact(text: str, kind: int, a: int, b: int) -> tuple[int, int] | None:
         a -= 1
     while word(b) and word(b - 1):
         b += 1
+    s = text[a:b]
+    if not re.search(r"[\s.]", s) and not _TITLE.search(text, max(0, a - 12), a):  # one word alone is a name only after a title
+        return None
     return (a, b) if sum(c.isalpha() for c in s) >= 2 and not digits else None
 
 
