@@ -159,6 +159,15 @@ The [visit|meeting|delivery|inspection] [by {N} |]at {A} [on {date}|is {w}|at {h
 {W} {Q}{x} {W}
 [number|phone|call|ring|tel|mobile|line|dial|fax|text] {P}{x} {W}
 {W} [number|phone|at|call|ring|tel|mobile|line] {P}{x}
+{W} [issued|registered|filed|listed|known|insured|entered|booked] [under|as|with] {I}[; {W}|, {W}|.]
+The {L} of the {L} [is|was|stays] [issued|registered|listed|kept|held] [under|as] {I}[; {W}|.]
+{W} [by|with|from|to|for|about|near] {N} [at|in|on] {A} {W}
+{N} {V} that {c} {W}
+{N} {V} [whether|why|how|when] {W}
+[I|We|They|She] [asked|met|saw|told|thanked|phoned] {N}, [they|she|he|and they|who] [said|say|knew|think] {W}
+{c} [is|was] {V} by {N} {w}, [who|which] {W}
+{c} [ships|goes|moves] to {A}, [attention|attn|care of|c/o] {N}.
+[tel.|phone|tel|mobile|Telefon|teléfono] {P}{x}, {W}
 [Taxpayer|Tax|Citizen|Passport|Social security|Insurance|Identity|Personal] [no|no.|number|ID|id|#] {I} {W}
 [Steuernummer|Ausweis|Pasaporte|DNI|NIE|SSN] [Nr.|n.º|no.|] {I} {W}
 {W} {E} {W}
@@ -229,6 +238,13 @@ The {ST} [service|project|release|module|team|queue] {W}
 The {B} [of {PL} |]{W}
 {Y} {L} [is|was|are|at|of|to] {M}, [then|and|next|or] {W}
 {Y} {L} [is|was|are|at|of|to|stays] {M}, [then|and|next|or] {n3} {n3} {n4} {L} {W}
+[hash|sha|digest|key|object|commit] {n12} [spans|holds|has|marks] {W}
+{W} #{n4}; {T} [is|was|ends|stays] [at|above|below|near] {n2} {U}.
+{T} {V} {W}
+{W}; {T} [is|has|needs|shows] {W}
+{W}[;|,] [counter|index|sequence|position|offset|entry|cursor] [00|000|]{n8}
+{W} [code|status|step|level] {n1}[;|,] {L} 00{n8}[.|]
+{L}@{n1}.{n2}.{n1} [is|was] {W}
 {Y} {M} [failed|passed|is|was|ran|stopped|moved] {W}
 [{D}|{Y}|{c}] {M} {L} {W}
 {W} {M} {L}.
@@ -325,7 +341,7 @@ class Maker:
 
     def cased(self, s: str) -> str:
         x = self.r.random()
-        return s.lower() if x < 0.08 else s.upper() if x < 0.15 else s
+        return s.lower() if x < 0.1 else s.upper() if x < 0.17 else s
 
     def initial(self) -> str:
         return self.r.choice("ABCDEFGHIJKLMNOPRSTUVWYZ") + self.r.choice([".", ".", ".", ". "]).strip()
@@ -472,7 +488,7 @@ class Maker:
             "x": self.ext, "c": self.comp, "w": lambda: r.choice(["at night", "in spring", "by default", "on Mondays", "after lunch", "every week", "during tests", "at startup", "before noon", "when idle", "this year", "once a day", "after the merge", "for now"]), "G": self.given,
             "date": lambda: r.choice([f"{r.randint(1990, 2030)}-{self.d(2)}-{self.d(2)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2030)}"]), "year": lambda: str(r.randint(1950, 2035)), "hm": lambda: f"{self.d(2)}:{self.d(2)}",
             "hex": lambda: self.hexes(r.choice([8, 12, 12, 16, 20, 40])), "T": lambda: f"{r.choice(THING) if r.random() < 0.7 else self.word().capitalize()} {self.pick(THING2)}", "ST": lambda: f"{self.pick(STREET_EN) if r.random() < 0.6 else self.word().capitalize()} {r.choice(WAY)}".replace("Dr. ", ""), "word": self.word, "U": lambda: r.choice(UNIT), "D": lambda: r.choice(DEVICE),
-            "Nick": lambda: (r.choice(TECH) if r.random() < 0.6 else r.choice("byte bug token shard fix lock crash debug merge patch loop null retry batch cursor timeout cloud pixel".split())).capitalize(), "PL": lambda: self.pick(PLACE), "R": lambda: self.pick(ROLE), "M": self.number, "L": lambda: r.choice(vocabulary("en")), "Y": lambda: r.choice(vocabulary("en")).capitalize(), "B": lambda: f"{r.choice(BODY)} {r.choice(BODY2)}",
+            "Nick": lambda: (r.choice(TECH) if r.random() < 0.6 else r.choice("byte bug token shard fix lock crash debug merge patch loop null retry batch cursor timeout cloud pixel".split())).capitalize(), "PL": lambda: self.pick(PLACE), "R": lambda: self.pick(ROLE), "V": lambda: r.choice("said wrote ruled claimed insisted noted hoped feared decided denied proved showed repeated reported argued guessed agreed promised warned checked touched edited built tested found shipped signed".split()), "M": self.number, "L": lambda: r.choice(vocabulary("en")), "Y": lambda: r.choice(vocabulary("en")).capitalize(), "B": lambda: f"{r.choice(BODY)} {r.choice(BODY2)}",
             "ORG": lambda: f"{self.invented() if r.random() < 0.5 else r.choice(FAMILY)} {r.choice(ORG[:3] + ORG[4:9])}" if r.random() < 0.6 else f"{r.choice(FAMILY)} & {r.choice(FAMILY + ['Sons', 'Partners'])}" if r.random() < 0.5 else f"{self.pick(PLACE)} {r.choice(ORG[-4:])}",
         }[k](), -1
 
@@ -565,7 +581,7 @@ def main(minutes: float, more: bool = False, workers: int = 8) -> None:
     pipes = []
     for i in range(workers):
         a, b = ctx.Pipe()
-        ctx.Process(target=_worker, args=(1000 + i + 500 * more, b), daemon=True).start()
+        ctx.Process(target=_worker, args=(1000 + i + 1300 * more, b), daemon=True).start()
         pipes.append(a)
     p = model.p
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
@@ -579,7 +595,7 @@ def main(minutes: float, more: bool = False, workers: int = 8) -> None:
         norm = float(np.sqrt(sum((v * v).sum() for v in g.values())))
         clip = min(1.0, 0.5 / (norm + 1e-9))
         step += 1
-        rate = (0.004 if more else 0.006) * min(1, step / 50) * max(0.02, 1 - passed / minutes)
+        rate = (0.0025 if more else 0.006) * min(1, step / 50) * max(0.02, 1 - passed / minutes)
         for k in p:
             x = g[k] * clip
             m1[k] = 0.9 * m1[k] + 0.1 * x
