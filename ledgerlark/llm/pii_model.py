@@ -13,10 +13,14 @@ from pathlib import Path
 
 import numpy as np
 
+from ledgerlark.llm import pii_cell
+
 KINDS = ("email", "phone", "national_id", "street_address", "person_name")
 #: 0 outside; 1+2k begins kind k, 2+2k continues it.
 LABELS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 192, 112
+#: Windows of similar length that run at once.
+GROUP = 512
 NEG = np.float32(-1e4)
 
 _ASCII = " !\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -82,9 +86,9 @@ _SHORTENED = {"blvd", "pkwy", "terr", "bldg", "avda", "hlgs", "gdns", "strs", "p
 
 def _sentence_end(text: str, m: re.Match) -> bool:
     """Whether white space after a mark ends a sentence: after four letters, two digits or a closed bracket or quote, and
-    before a letter, quote or one of @ | {. So abbreviations, initials and streets written short don't."""
+    before a letter, quote or one of @ | {, or a line break. So abbreviations, initials and streets written short don't."""
     s, e = m.start(), m.end()
-    if e >= len(text) or not (text[e].isalpha() or text[e] in '"@|{'):
+    if e >= len(text) or not (text[e].isalpha() or text[e] in '"@|{' or "\n" in m[0]):
         return False
     if text[s] in "\"'":
         return s > 0 and text[s - 1] in ".!?"
@@ -119,6 +123,7 @@ class Model:
 
     def __init__(self, p: dict[str, np.ndarray]):
         self.p = {k: np.ascontiguousarray(v, np.float32) for k, v in p.items()}
+        self.cells: dict[str, object] = {}  # of the trained weights, made when first needed; None runs in numpy
 
     @classmethod
     def new(cls, hidden: int, seed: int) -> "Model":
@@ -150,6 +155,15 @@ class Model:
         """States (T, B, H) of a batch of classes (T, B)."""
         h4 = self.p["u" + d].shape[1]
         n = h4 // 4
+        if d not in self.cells:
+            self.cells[d] = pii_cell.session(self.p["u" + d])
+        if (cell := self.cells[d]) is not None:
+            w, out = self.p["w" + d] + self.p["b" + d], np.empty((*ids.shape, n), np.float32)
+            h = c = np.zeros((ids.shape[1], n), np.float32)
+            for t in range(len(ids)):
+                h, c = cell.run(None, {"x": np.take(w, ids[t], axis=0), "h": h, "c": c})
+                out[t] = h
+            return out
         # sigmoid(x) = tanh(x/2)/2 + 1/2: the first three gates are halved beforehand
         scale = np.ones(h4, np.float32)
         scale[: 3 * n] = 0.5
@@ -172,8 +186,8 @@ class Model:
         out: list[np.ndarray] = [None] * len(windows)  # type: ignore[list-item]
         order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
         n = self.p["uf"].shape[0]
-        for at in range(0, len(order), 256):
-            group = order[at : at + 256]
+        for at in range(0, len(order), GROUP):
+            group = order[at : at + GROUP]
             lengths = [len(windows[i]) for i in group]
             ahead = np.zeros((max(lengths), len(group)), np.int64)
             back = np.zeros_like(ahead)
