@@ -56,13 +56,16 @@ def feed_state(events: DataFrame, tombstones: DataFrame, base: DataFrame | None
     equal cursors with the least fact_id. A withdrawal is kept although its own event or its target hasn't come yet; both
     are looked for whenever facts are derived. Null ids are ignored. Pre-aggregated before the shuffle.
     """
-    seen = events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), cursor(F.col("store_cursor")).alias("seq"), F.when(F.col("message_type") == "fact-event", F.col("fact_id")).alias("fact_id"), F.lit(None).cast("string").alias("target_event_id"))
-    gone = tombstones.filter("signer_authorized and target_event_id is not null").select(F.lit("tombstone").alias("kind"), F.col("tombstone_id").alias("id"), F.lit(None).cast("decimal(38,0)").alias("seq"), F.lit(None).cast("string").alias("fact_id"), "target_event_id")
-    rows = seen.filter("seq is not null").unionByName(gone)
+    firsts = events.select(F.col("event_id").alias("id"), cursor(F.col("store_cursor")).alias("seq"), F.when(F.col("message_type") == "fact-event", F.col("fact_id")).alias("fact_id")).filter("id is not null and seq is not null")
+    gone = tombstones.filter("signer_authorized and target_event_id is not null and tombstone_id is not null").select(F.col("tombstone_id").alias("id"), "target_event_id")
     if base is not None:
-        rows = rows.unionByName(base.select("kind", "id", "seq", "fact_id", "target_event_id"))
-    folded = rows.filter("id is not null").groupBy("kind", "id", "target_event_id").agg(F.min(F.struct("seq", "fact_id")).alias("m"))
-    return folded.select("kind", "id", "m.seq", "m.fact_id", "target_event_id")
+        firsts = firsts.unionByName(base.filter("kind = 'event'").select("id", "seq", "fact_id"))
+        gone = gone.unionByName(base.filter("kind = 'tombstone'").select("id", "target_event_id"))
+    firsts = firsts.groupBy("id").agg(F.min(F.struct("seq", "fact_id")).alias("m"))
+    # Two branches with a constant kind: a reader of one kind only computes that one, and finds it partitioned by id.
+    seen = firsts.select(F.lit("event").alias("kind"), "id", "m.seq", "m.fact_id", F.lit(None).cast("string").alias("target_event_id"))
+    kept = gone.distinct().select(F.lit("tombstone").alias("kind"), "id", F.lit(None).cast("decimal(38,0)").alias("seq"), F.lit(None).cast("string").alias("fact_id"), "target_event_id")
+    return seen.unionByName(kept)
 
 
 def changes_of(state: DataFrame) -> DataFrame:
