@@ -110,6 +110,11 @@ def derived_unknowns(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d).unknowns()
 
 
+def reopened_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Unknowns of keys whose decision fell: withdrawn, expired, misextracted or stale."""
+    return view(spark, d).unknowns().filter(F.col("kind").isin("withdrawn", "expired", "misextraction", "stale"))
+
+
 def view_counts(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d).counts()
 
@@ -138,7 +143,7 @@ def revocation_cascade(spark: SparkSession, d: str) -> DataFrame:
     return hit.groupBy(F.col("key").alias("signer")).agg(F.min("event_id").alias("first_event"), F.countDistinct("event_id").alias("affected")).withColumn("residual", F.col("affected") - 1)
 
 
-QUERIES = {f.__name__: f for f in (standing_clamp, governed_standing, authority_rank, eligibility_reasons, retirement, event_stages, statement_clusters, heads, current_facts, key_states, derived_unknowns, view_counts, decay_policy, explicit_unknowns, revocation_cascade)}
+QUERIES = {f.__name__: f for f in (standing_clamp, governed_standing, authority_rank, eligibility_reasons, retirement, event_stages, statement_clusters, heads, current_facts, key_states, derived_unknowns, reopened_decisions, view_counts, decay_policy, explicit_unknowns, revocation_cascade)}
 
 _EFF = "case when {s} < {c} then case provenance when 'human' then 'authoritative' when 'human_review' then 'prevalent' when 'transcript' then 'prevalent' else 'present' end else standing end".format(
     s="coalesce(list_position(['authoritative','ratified','enforced','exemplary','prevalent','present','unruled'], standing), 8)",
@@ -210,6 +215,7 @@ SQL = {
     "current_facts": _ALL + " select logical_key, fact_id, event_id, case when withheld then 'withheld' else 'trusted' end as trust, support, independent from hd join ko using (logical_key) where outcome = 'CURRENT' and state = 'current'",
     "key_states": _ALL + " select logical_key, state from ko",
     "derived_unknowns": _ALL + " select logical_key, state as kind, 'unknown_' || substr(sha256('mixed' || chr(0) || logical_key || chr(0) || state || chr(0)), 1, 40) as unknown_id from ko where state <> 'current'",
+    "reopened_decisions": _ALL + " select logical_key, state as kind, 'unknown_' || substr(sha256('mixed' || chr(0) || logical_key || chr(0) || state || chr(0)), 1, 40) as unknown_id from ko where state in ('withdrawn', 'expired', 'misextraction', 'stale')",
     "view_counts": _ALL + " select state, count(*) as keys from ko group by 1",
     "decay_policy": "select * from (values ('observation', 'newest-cursor-within-same-source'), ('claim', 'conflict-unless-superseded'), ('decision', 'conflict-unless-superseded'), ('constraint', 'conflict-unless-superseded'), ('rationale', 'accumulate')) t(atom_kind, rule)",
     "explicit_unknowns": _ALL + " select logical_key, event_id from a where atom_kind = 'question' and not exists (select 1 from a b where b.atom_kind = 'question' and b.disposition in ('accepted', 'merged') and b.fact_id = a.fact_id) and not exists (select 1 from a b where b.atom_kind = 'question' and b.disposition = 'rejected' and b.logical_key = a.logical_key)",

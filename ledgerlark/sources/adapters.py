@@ -10,9 +10,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlark.functions.text import canonical
+
 MAX_BYTES = 15_000
 EXCERPT = " [excerpt; full source retained by content digest]"
 # Markers of automated authors.
@@ -39,9 +42,13 @@ def _head(c: Column, room: int) -> Column:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with its file; line numbers follow the file's order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """Every line with its file and its number from 0 in it. Files are read in blocks, so one of any size is spread over tasks: a
+    line's number is its place in its block plus the lines of the file's earlier blocks, of which there is one row each."""
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    blocks = read.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = read.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"])
+    return numbered.select("path", (F.col("before") + F.col("at") - F.col("first")).cast("int").alias("line"), "value")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -217,7 +224,7 @@ def code_symbols(spark: SparkSession, path: str) -> DataFrame:
 
 def authority_answers(spark: SparkSession, path: str) -> DataFrame:
     j = json_lines(spark, path, "question_id string, authority_id string, authority_scope string, answer string, rationale string, answered_at string, signer string, signature string")
-    native = F.when(F.col("j.question_id").isNotNull(), F.concat(F.lit("answer:"), F.substring(F.sha2("value", 256), 1, 16)))
+    native = F.when(F.col("j.question_id").isNotNull(), F.concat(F.lit("answer:"), F.substring(F.sha2(F.coalesce(canonical(F.col("value")), F.col("value")), 256), 1, 16)))
     return _record(j, "authority_answer", native, F.concat(F.lit("authority_answer:"), F.col("j.question_id")), F.concat_ws("\n", "j.answer", "j.rationale"), F.lit("answered"), F.lit("human"), 9800, F.try_to_timestamp("j.answered_at"), scope=F.coalesce("j.authority_scope", F.lit("architecture:company")), signer=F.col("j.signer"))
 
 

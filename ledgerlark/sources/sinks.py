@@ -43,9 +43,29 @@ def upsert(base: DataFrame, changes: DataFrame, key: str, order: str) -> DataFra
 
 
 def content_addressed(events: DataFrame, body: str, path: str) -> None:
-    """Text files under the first two digits of their digest; writing the same again changes nothing in what is read back."""
+    """Rows under the first two digits of their digest. What is stored already isn't written again; of the store, digests are read
+    only in the prefixes that occur. Null bodies are left out."""
     d = F.sha2(F.col(body), 256)
-    events.select(F.substring(d, 1, 2).alias("prefix"), d.alias("digest"), F.col(body).alias("event")).dropDuplicates(["digest"]).write.mode("append").partitionBy("prefix").parquet(path)
+    new = events.filter(F.col(body).isNotNull()).select(F.substring(d, 1, 2).alias("prefix"), d.alias("digest"), F.col(body).alias("event")).dropDuplicates(["digest"])
+    if _exists(events.sparkSession, path):
+        new = new.join(events.sparkSession.read.schema("digest string, event string, prefix string").parquet(path).select("prefix", "digest"), ["prefix", "digest"], "left_anti")
+    new.write.mode("append").partitionBy("prefix").parquet(path)
+
+
+def write_if_changed(df: DataFrame, path: str) -> bool:
+    """Writes a view unless its rows, in any order, are those that the stored receipt names. The digest is the count and a sum of
+    row hashes, twice seeded, so it needs no order. Returns whether it wrote."""
+    spark, cols = df.sparkSession, sorted(df.columns)
+    row = F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+    big = lambda c: F.sum(c.cast("decimal(38,0)"))
+    r = df.agg(F.count("*"), big(F.xxhash64(row)), big(F.xxhash64(F.lit("again"), row))).first()
+    receipt = f"{','.join(cols)}:{r[0]}:{r[1]}:{r[2]}"
+    at = f"{path}_receipt"
+    if _exists(spark, path) and _exists(spark, at) and spark.read.text(at).first()[0] == receipt:
+        return False
+    df.write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(receipt,)], "value string").coalesce(1).write.mode("overwrite").text(at)
+    return True
 
 
 def quarantine(records: DataFrame, what: list[str]) -> DataFrame:

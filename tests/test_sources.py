@@ -99,3 +99,28 @@ def test_indented_and_python_symbols(spark, tmp_path):
     (tmp_path / "src" / "c.ts").write_text("namespace N {\n  export const pay$ = 1;\n  export enum Kind {}\n}\nexport async function load() {}\n")
     got = {r["name"]: r["line"] for r in A.scan(spark, "repo_symbols", str(tmp_path / "src")).collect()}
     assert got == {"alone": 1, "Box": 4, "inner": 5, "open": 2, "wait": 3, "LIMIT": 6, "pay$": 2, "Kind": 3, "load": 5}
+
+
+def test_lines_keep_their_numbers_across_blocks(spark, tmp_path):
+    f = tmp_path / "big.jsonl"
+    f.write_text("".join(f'{{"id": {i}}}\n' + ("\n" if i % 7 == 0 else "") for i in range(3000)))
+    (tmp_path / "small.jsonl").write_text('{"id": 1}\r\n{"id": 2}')
+    want = {(p.name, i, v) for p in tmp_path.iterdir() for i, v in enumerate(p.read_text(newline="").replace("\r\n", "\n").removesuffix("\n").split("\n"))}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {(r["path"].rsplit("/", 1)[1], r["line"], r["value"]) for r in A._lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == want
+
+
+def test_content_addressed_and_unchanged_views(spark, tmp_path):
+    events = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "body string")
+    at = f"{tmp_path}/store"
+    K.content_addressed(events, "body", at)
+    K.content_addressed(events, "body", at)
+    assert spark.read.parquet(at).count() == 2
+    view = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    assert K.write_if_changed(view, f"{tmp_path}/view") and not K.write_if_changed(view.orderBy("v"), f"{tmp_path}/view")
+    assert K.write_if_changed(view.filter("k = 1"), f"{tmp_path}/view") and spark.read.parquet(f"{tmp_path}/view").count() == 1
