@@ -22,6 +22,8 @@ DOMAINS = {"chat_thread": "conversation", "codex_jsonl": "conversation", "pull_r
 SEED = 20240101
 #: Rounds in which the last epoch is filled.
 PASSES = 5
+#: They end when less than this share of the total is left.
+LITTLE = 0.0002
 
 
 @dataclass(frozen=True)
@@ -168,6 +170,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
             for k in of:
                 if k != most and fills[k].passes:
                     fills[most].left, fills[k].left = fills[most].left + fills[k].left, 0.0
+        if sum(f.left for f in fills.values()) <= LITTLE * total:
+            break
         _next_pass(fills, last)
     done = docs.join(F.broadcast(limits.filter("_full > 0")), ["source", "lang"]).select("doc_id", "source", "lang", F.explode(F.sequence(F.lit(0), F.col("_full") - 1)).alias("epoch"), "n_tokens")
     part = _chosen(fills, last).filter("_in").select("doc_id", "source", "lang", F.col("_full").alias("epoch"), "n_tokens")
