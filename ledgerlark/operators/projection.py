@@ -1,15 +1,19 @@
 """Budgeted context selection: the greedy choice of facts by marginal value, within an item and a byte budget.
 
 Features and an upper bound of each candidate's value are computed where it lies; the sequential rounds run over the rows of
-the highest bounds only, and are repeated over more rows whenever a row left out might have been chosen.
+the highest bounds only, are repeated over more rows whenever a row left out might have been chosen, and beyond a bounded
+number of rows run in Spark.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlark.functions import text as X
 from ledgerlark.session import cut
@@ -99,13 +103,53 @@ def greedy(rows: list, items: int, limit: int, excluded: int | None) -> list[tup
     return out
 
 
-def select(cands: DataFrame, items: int = ITEMS, limit: int = BYTES, shortlist: int = 2000) -> DataFrame:
+def _rounds(cands: DataFrame, items: int, limit: int) -> list[tuple[int, str, int]]:
+    """The same choice with every round over all candidates where they lie: a task returns its best one, given the picks so far."""
+    out: list[tuple[int, str, int]] = []
+    picks: list[_Fold] = []
+    schema = T.StructType([*cands.schema.fields, T.StructField("marginal", T.LongType())])
+    order = lambda r: (-r["marginal"], -r["priority"], r["fact_id"])
+
+    def best_of(taken: list[_Fold], room: int, directed: bool):
+        chosen = {p.row["fact_id"] for p in taken}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, kept = None, None
+            for b in batches:
+                kept = b.schema
+                for r in b.to_pylist():
+                    if r["bytes"] > room or (directed and r["direction"]) or r["fact_id"] in chosen:
+                        continue
+                    f = _Fold(r)
+                    for p in taken:
+                        f.absorb(p)
+                    r["marginal"] = f.marginal()
+                    best = r if best is None or order(r) < order(best) else best
+            if best is not None:
+                yield pa.RecordBatch.from_pylist([best], schema=kept.append(pa.field("marginal", pa.int64())))
+
+        return run
+
+    while len(out) < items:
+        room = limit - 2 - sum(p.row["bytes"] + 1 for p in picks)
+        directed = sum(bool(p.row["direction"]) for p in picks) >= DIRECTION_ITEMS
+        found = [r.asDict() for r in cands.mapInArrow(best_of(list(picks), room, directed), schema).collect()]  # one row a task
+        best = min(found, key=order, default=None)
+        if best is None or best["marginal"] <= 0:
+            break
+        out.append((len(out), best["fact_id"], best["marginal"]))
+        picks.append(_Fold(best))
+    return out
+
+
+def select(cands: DataFrame, items: int = ITEMS, limit: int = BYTES, shortlist: int = 2000, most: int = 32_000) -> DataFrame:
     """(position, fact_id, marginal): ties go to the higher role priority, then the smaller fact_id; selection ends when
     nothing fits or adds value.
 
     No candidate can be worth more than its own features plus the complement gain. Spark finds the ``shortlist`` rows of the
     highest such bound; the greedy rounds over them are exact as long as each pick beats the bound of the best row left out.
-    If one doesn't, the list is four times as long next time, so the result never depends on its length.
+    If one doesn't, the list is four times as long next time, and beyond ``most`` rows the rounds run over all candidates in
+    Spark. So the result never depends on the list's length, and the driver never holds more than ``most`` rows.
     """
     spark = cands.sparkSession
     bound = F.coalesce("coverage", F.lit(0)) + F.col("gain") + COMPLEMENT + F.col("uncertainty") - COST
@@ -116,6 +160,8 @@ def select(cands: DataFrame, items: int = ITEMS, limit: int = BYTES, shortlist:
         if got is not None:
             return spark.createDataFrame(got, "position int, fact_id string, marginal bigint")
         shortlist *= 4
+        if shortlist > most:
+            return spark.createDataFrame(_rounds(ranked, items, limit), "position int, fact_id string, marginal bigint")
 
 
 def array_cost(parts: list[str]) -> int:

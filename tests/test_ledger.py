@@ -66,6 +66,7 @@ def test_projection_equals_a_plain_loop(spark):
     c = P.candidates(f, "keep the cache", "which ledger", spark.createDataFrame([(s, 3000) for s in {x[2] for x in rows[:100]}], "statement string, bp int"))
     whole = P.greedy(c.collect(), P.ITEMS, P.BYTES, None)
     assert [tuple(x) for x in P.select(c, shortlist=3).orderBy("position").collect()] == whole and len(whole) == P.ITEMS
+    assert [tuple(x) for x in P.select(c, shortlist=3, most=10).orderBy("position").collect()] == whole
     assert P.select(c.limit(0)).count() == 0
 
 
