@@ -24,7 +24,8 @@ OPEN = 1 << 52
 #: Whole-slab runs have this slab; their positions count slabs from -BIAS.
 COARSE, BIAS = -(1 << 40), 1 << 18
 _SPAN = 1 << 32
-_HOLD = 400_000
+#: Rows merged at a time. Each has some 15 to 30 blocks.
+_HOLD = 100_000
 
 
 def canonical_blocks(gid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,33 +79,65 @@ def dyadic_runs(gid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.nda
 
 
 _PIECES = "key string, slab bigint, lo bigint, hi bigint"
+_ARROW = pa.schema([("key", pa.string()), ("slab", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
 
-def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of each (key, slab) among the rows of this task; what is held is merged again whenever it has doubled."""
-    held: list[pa.Table] = []
-    rows, limit = 0, _HOLD
-
-    def merged(t: pa.Table) -> pa.Table:
-        d = t.column("key").combine_chunks()
-        d = (pa.concat_arrays(d.chunks) if isinstance(d, pa.ChunkedArray) else d).dictionary_encode()
-        slabs, s = np.unique(t.column("slab").to_numpy(), return_inverse=True)
-        g = d.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(slabs) + s
-        names, g = np.unique(g, return_inverse=True)
-        gid, lo, hi = dyadic_runs(g, t.column("lo").to_numpy(), t.column("hi").to_numpy())
-        code = names[gid]
-        return pa.table({"key": d.dictionary.take(pa.array(code // len(slabs))), "slab": slabs[code % len(slabs)], "lo": lo, "hi": hi})
+def _merged(tables: list[pa.Table]) -> pa.Table:
+    """Runs of each (key, slab), keys in the order of their first rows."""
+    t = pa.concat_tables(tables)
+    d = t.column("key").combine_chunks()
+    d = (pa.concat_arrays(d.chunks) if isinstance(d, pa.ChunkedArray) else d).dictionary_encode()
+    slabs, s = np.unique(t.column("slab").to_numpy(), return_inverse=True)
+    g = d.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(slabs) + s
+    names, g = np.unique(g, return_inverse=True)
+    gid, lo, hi = dyadic_runs(g, t.column("lo").to_numpy(), t.column("hi").to_numpy())
+    code = names[gid]
+    return pa.table([d.dictionary.take(pa.array(code // len(slabs))), slabs[code % len(slabs)], lo, hi], schema=_ARROW)
+
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a task as tables of one schema; Spark marks columns that can't be null."""
     for batch in batches:
         if batch.num_rows:
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-        if rows >= limit:
-            held = [merged(pa.concat_tables(held))]
-            rows = held[0].num_rows
-            limit = max(_HOLD, 2 * rows)
-    if held:
-        yield from merged(pa.concat_tables(held)).combine_chunks().to_batches(max_chunksize=20_000)
+            yield pa.Table.from_batches([batch]).cast(_ARROW)
+
+
+def _batches(t: pa.Table) -> list[pa.RecordBatch]:
+    return t.combine_chunks().to_batches(max_chunksize=20_000)
+
+
+def _merge_near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each (key, slab) among rows that lie near each other, in any order. What merging hasn't halved goes out, so about
+    _HOLD rows are held at the most."""
+    held: list[pa.Table] = []
+    rows = 0
+    for t in _parts(batches):
+        held.append(t)
+        rows += t.num_rows
+        if rows >= _HOLD:
+            t = _merged(held)
+            if 2 * t.num_rows > rows:
+                yield from _batches(t)
+                t = t.slice(0, 0)
+            held, rows = [t], t.num_rows
+    if rows:
+        yield from _batches(_merged(held))
+
+
+def _merge_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of each (key, slab) of rows sorted by key, slab and lo. Only the last run can reach into the rows to come, so it alone
+    is kept; about _HOLD rows are held at the most, whatever a group has."""
+    held: list[pa.Table] = []
+    rows = 0
+    for t in _parts(batches):
+        held.append(t)
+        rows += t.num_rows
+        if rows >= _HOLD:
+            t = _merged(held)
+            yield from _batches(t.slice(0, t.num_rows - 1))
+            held, rows = [t.slice(t.num_rows - 1)], 1
+    if rows:
+        yield from _batches(_merged(held))
 
 
 def periods_and_gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -113,7 +146,8 @@ def periods_and_gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame
 
     Intervals are half-open; touching ones belong together. A null end is open. Rows with null key or start, and intervals
     that end at or before their start, are ignored. Repeated rows change nothing; an empty table gives no rows; other
-    columns are not read. Merged where rows lie before the shuffle, so repeated cover isn't moved.
+    columns are not read. Merged where rows lie before the shuffle, so repeated cover isn't moved. A task holds a bounded number
+    of rows in Python, however many it has.
     """
     size = 1 << SLAB_BITS
     iv = df.select(F.col(key).alias("key"), F.unix_millis(F.col(start).cast("timestamp")).alias("s"), F.coalesce(F.unix_millis(F.col(end).cast("timestamp")), F.lit(OPEN)).alias("e"))
@@ -128,7 +162,8 @@ def periods_and_gaps(df: DataFrame, key: str, start: str, end: str) -> DataFrame
         piece(F.col("b"), F.lit(0), re_),
     )
     pieces = iv.select("key", F.explode(F.when(F.col("a") == F.col("b"), one).otherwise(many)).alias("p")).select("key", "p.*").filter("lo < hi")
-    runs = pieces.mapInArrow(_merge_pieces, _PIECES).repartition("key", "slab").mapInArrow(_merge_pieces, _PIECES)
+    near = pieces.mapInArrow(_merge_near, _PIECES).repartition("key", "slab")
+    runs = near.sortWithinPartitions("key", "slab", "lo").mapInArrow(_merge_sorted, _PIECES)
     at = lambda c: F.when(F.col("slab") == COARSE, (F.col(c) - BIAS) * size).otherwise(F.col("slab") * size + F.col(c))
     runs = runs.select("key", at("lo").alias("s"), at("hi").alias("e")).withColumn("slab", F.shiftright("s", SLAB_BITS))
     # One row per (key, slab) is all that a key needs across slabs.

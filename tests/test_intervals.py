@@ -2,8 +2,10 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ledgerlark.operators import intervals as I
 
@@ -61,3 +63,26 @@ def test_periods_against_brute_force(spark):
     got = {tuple(x) for x in I.periods_and_gaps(df, "k", "a", "b").collect()}
     assert got == brute(rows)
     assert I.periods_and_gaps(df.limit(0), "k", "a", "b").count() == 0
+
+
+def test_rows_beyond_what_is_held_at_a_time(monkeypatch):
+    """Columns marked as never null, as Spark sends them, and more rows than _HOLD, in one group or many."""
+    monkeypatch.setattr(I, "_HOLD", 50)
+    strict = pa.schema([("key", pa.string()), ("slab", pa.int64()), ("lo", pa.int64()), pa.field("hi", pa.int64(), nullable=False)])
+    r = random.Random(5)
+    for keys, width in (("k", 40), ("k", 3000), ("abcdef", 40), ("abcdef", 3000)):
+        rows = [(r.choice(keys), r.choice([I.COARSE, 3, 4]), a := r.randrange(60_000), a + r.randrange(1, width)) for _ in range(1000)]
+        batches = lambda rows: (pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 30])], schema=strict) for i in range(0, len(rows), 30))  # noqa: B023, E731
+        near = [tuple(x.values()) for b in I._merge_near(batches(rows)) for x in b.to_pylist()]
+        got = [tuple(x.values()) for b in I._merge_sorted(batches(sorted(near))) for x in b.to_pylist()]
+        groups = {(k, s): [(0, a, b) for x, y, a, b in rows if (x, y) == (k, s)] for k, s, _, _ in rows}
+        want = {(k, s, a, b) for (k, s), g in groups.items() for _, kind, a, b in brute(g) if kind == "period"}
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_a_task_of_many_rows(spark):
+    """One partition of 450,000 rows; keys by 1000, each with a period of a day on every second day, and its gaps."""
+    day = 86_400_000
+    df = spark.range(450_000).coalesce(1).selectExpr("cast(id % 1000 as string) k", f"timestamp_millis((id div 1000) * 2 * {day}) a", f"timestamp_millis(((id div 1000) * 2 + 1) * {day}) b")
+    got = I.periods_and_gaps(df, "k", "a", "b").groupBy("row_kind").agg(F.count("*"), F.max("until_ms"), F.sum(F.col("until_ms") - F.col("from_ms"))).collect()
+    assert {tuple(x) for x in got} == {("period", 450_000, 899 * day, 450_000 * day), ("gap", 449_000, 898 * day, 449_000 * day)}
