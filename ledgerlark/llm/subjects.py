@@ -25,6 +25,9 @@ FUZZY_FROM = 7
 COMMON = 0.2
 #: No factor of rarity is below this, so that a term of weight 1, or two of a half, carries a sentence however common it is.
 FLOOR = SENTENCE
+#: Of several subjects that one sentence reaches, those by weak terms alone must have this weight, which two have unless one is
+#: common; else they yield to the others.
+CONTESTED = 2 * T.HALF
 
 # Wrapping that sources put around sentences: short "label: value" lines, rules, ticket heads, shell lines, graph edges; leads of
 # chat turns, quotes, lists and table cells.
@@ -113,17 +116,18 @@ def matches(sentence: str) -> list[int]:
     return [i for _, _, ids in kept for i in ids]
 
 
-_EVIDENCE = "doc_id bigint, n_sentences int, sentence array<int>, term array<int>"
+_EVIDENCE = "doc_id bigint, body bigint, n_sentences int, sentence array<int>, term array<int>"
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """Per document: how many sentences it has, and which terms stand in which. Whole texts; null and empty ones have none."""
+    """Per document: a hash of its text, how many sentences it has, and which terms stand in which. Whole texts; null and empty
+    ones have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for batch in batches:
             n, where, what = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 ss = sentences(text or "")
                 w, t = [], []
                 for k, s in enumerate(ss):
@@ -138,49 +142,63 @@ def evidence(documents: DataFrame) -> DataFrame:
                 what.append(t)
                 if len(known) > 100_000:
                     known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.int32()))], names=["doc_id", "n_sentences", "sentence", "term"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(where, pa.list_(pa.int32())), pa.array(what, pa.list_(pa.int32()))], names=["doc_id", "body", "n_sentences", "sentence", "term"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, _EVIDENCE)
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("body"), "text").filter("doc_id is not null").mapInArrow(run, _EVIDENCE)
 
 
 def rarity(ev: DataFrame) -> dict[int, float]:
-    """The factor of each term by its document frequency in the whole corpus: 1 up to COMMON, then falling with its idf
-    to FLOOR. The result has at most one entry per curated term."""
-    n = ev.count()
-    df = {r["t"]: r["n"] for r in ev.select(F.explode(F.array_distinct("term")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    """The factor of each term by its document frequency in the whole corpus, equal texts counted once: 1 up to COMMON, then
+    falling with its idf to FLOOR. The result has at most one entry per curated term."""
+    texts = ev.select("body", F.array_distinct("term").alias("term")).groupBy("body").agg(F.first("term").alias("term"))
+    counts = texts.select(F.explode(F.concat(F.array(F.lit(-1)), "term")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    df = {r["t"]: r["n"] for r in counts.collect()}
+    n = df.pop(-1, 0)
     top = math.log(1 / COMMON)
     return {t: min(1.0, max(FLOOR, math.log((n + 1) / k) / top)) for t, k in df.items()}
 
 
+def treated(found: list[int], weight: dict[int, tuple[str, float]]) -> list[str]:
+    """The subjects that a sentence with these terms treats. weight: the subject of each term, and its weight."""
+    got: dict[str, float] = {}
+    for t in found:
+        if t in weight:
+            s, w = weight[t]
+            got[s] = got.get(s, 0.0) + w
+    on = [s for s, w in got.items() if w >= SENTENCE]
+    if len(on) > 1:
+        strong = {weight[t][0] for t in found if t in weight and terms()[t][2] > T.HALF}
+        on = [s for s in on if s in strong or got[s] >= CONTESTED] or on
+    return on
+
+
 def subject_shares(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, subject, n_sentences, on_subject, share): share of the document's sentences that treat the subject.
 
-    A sentence treats a subject if its terms, weighted by curation and rarity, reach SENTENCE. Repeated doc_ids are judged
-    row by row and come out once. Documents without text or terms have no rows; an empty table gives none.
+    A sentence treats a subject if its terms, weighted by curation and rarity, reach SENTENCE; where several subjects do, weak
+    terms that are common yield. Repeated doc_ids are judged row by row and come out once. Documents without text or terms have
+    no rows; an empty table gives none.
     """
     ev = cut(evidence(documents))
     factor = rarity(ev)
-    rows = [(i, s, w * factor.get(i, 1.0)) for i, (_, s, w) in enumerate(terms()) if s]
-    weight = {i: (SUBJECTS.index(s), w) for i, s, w in rows}
+    weight = {i: (s, w * factor.get(i, 1.0)) for i, (_, s, w) in enumerate(terms()) if s}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for d, n, where, what in zip(*(c.to_pylist() for c in batch.columns)):
-                got: dict[tuple[int, int], float] = {}
+                found: dict[int, list[int]] = {}
                 for k, t in zip(where, what):
-                    if t in weight:
-                        s, w = weight[t]
-                        got[k, s] = got.get((k, s), 0.0) + w
-                on: dict[int, int] = {}
-                for (_, s), w in got.items():
-                    if w >= SENTENCE:
+                    found.setdefault(k, []).append(t)
+                on: dict[str, int] = {}
+                for ts in found.values():
+                    for s in treated(ts, weight):
                         on[s] = on.get(s, 0) + 1
-                out += [(d, SUBJECTS[s], n, c, c / n) for s, c in on.items()]
+                out += [(d, s, n, c, c / n) for s, c in on.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "subject", "n_sentences", "on_subject", "share"])
 
-    return ev.mapInArrow(run, "doc_id bigint, subject string, n_sentences int, on_subject int, share double")
+    return ev.drop("body").mapInArrow(run, "doc_id bigint, subject string, n_sentences int, on_subject int, share double")
 
 
 def assign(documents: DataFrame, share: float = SHARE) -> DataFrame:

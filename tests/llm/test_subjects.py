@@ -91,6 +91,15 @@ def test_rarity_is_one_formula_at_every_size(spark):
         assert set(S.rarity(ev).values()) == {S.FLOOR}, n
 
 
+def test_common_weak_terms_yield_where_subjects_compete(spark):
+    """Half-time and steward are weak terms of people, slalom is a strong one of sport. Copies of a text count once."""
+    both, weak, other = "The half-time and the slalom surprised the steward.", "The half-time surprised the steward.", "The steward nodded."
+    for others, want in ((range(10, 20), {"sport"}), ([], {"sport", "people"})):
+        rows = [(1, both), (2, weak), *((i, f"{other} Note {i}.") for i in others), *((i, f"Noted, thanks, {i}.") for i in range(20, 35)), *((i, both) for i in range(40, 60))]
+        got = {tuple(r) for r in S.assign(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+        assert got == {(i, s) for i in (1, *range(40, 60)) for s in want} | {(2, "people")}
+
+
 def test_every_subject_has_terms():
     assert set(T.STRONG) == set(T.WEAK) == set(T.VERBS) and all(len(v.split("|")) >= 100 for v in T.STRONG.values())
 
